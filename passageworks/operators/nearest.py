@@ -30,6 +30,7 @@ MAX_QUESTIONS = 16_384
 MAX_QUESTION_BYTES = 128 << 20
 # A result proven to have at most this many (short) rows may be broadcast.
 MAX_BROADCAST_ROWS = 500_000
+MAX_LITERAL_GROUPS = 1_000
 # Rows of chunks and of questions that meet in one cogrouped task.
 BLOCK_CHUNKS = 32_768
 BLOCK_QUESTIONS = 4_096
@@ -279,10 +280,7 @@ def _search_broadcast(
     grouped = "_group" in block.labels.column_names
     shared = spark.sparkContext.broadcast((block, bounds))
     if grouped:
-        # Leave only chunks of routed groups, before they go to Python.  The
-        # group list is part of the block, so it is as bounded as that.
-        wanted = pa.table({"_group": block.labels["_group"].unique()})
-        source = source.join(F.broadcast(spark.createDataFrame(wanted)), "_group", "left_semi")
+        source = _of_groups(source, block.labels["_group"].unique())
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b, limits = shared.value
@@ -309,6 +307,19 @@ def _search_broadcast(
     return source.select(*columns).mapInArrow(search, schema)
 
 
+def _of_groups(source: DataFrame, groups: pa.Array) -> DataFrame:
+    """Only the chunks of routed groups, before they go to Python.
+
+    A short list becomes a literal filter, which prunes partitions and row
+    groups; a longer one a broadcast semi join.  Its length is bounded by the
+    number of routes, which were collected under a bound.
+    """
+    if len(groups) <= MAX_LITERAL_GROUPS:
+        return source.filter(F.col("_group").isin(groups.to_pylist()))
+    wanted = source.sparkSession.createDataFrame(pa.table({"_group": groups}))
+    return source.join(F.broadcast(wanted), "_group", "left_semi")
+
+
 def _kth_distances(seed: DataFrame, block: _Lanes, k: int) -> np.ndarray:
     rows = seed.filter(F.col("rank") == k).select("qid", "d").toArrow()
     known = dict(zip(rows["qid"].to_pylist(), rows["d"].to_pylist()))
