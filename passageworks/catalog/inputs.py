@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passageworks.session import ship_package
 from passageworks.sources.tables import read_files, spread
 
 # Words that occur in the test documents, in about a fifth of their lines.
@@ -23,6 +24,7 @@ CHUNK_TOKENS = 40
 class Inputs:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
         return read_files(self.spark, f"{self.path}/{name}.parquet")

@@ -96,7 +96,7 @@ def managed_chunk_table(t: Inputs) -> DataFrame:
         spark.table(name)
         .groupBy("source_table", "source_id")
         .agg(F.count("*").alias("n_rows"))
-        .withColumn("n_analyzed", F.lit(known.select(n).first()[0]))
+        .withColumn("n_analyzed", F.lit(known.select(n).first()[0]).cast("long"))
     )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -29,7 +31,23 @@ def build_session(
     settings = DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_passageworks_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="passageworks-")) / "passageworks.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for module in sorted(here.rglob("*.py")):
+            target.write(module, module.relative_to(here.parent))
+    context.addPyFile(str(archive))
+    context._passageworks_shipped = True
 
 
 def work_root(spark: SparkSession) -> str:
