@@ -7,7 +7,7 @@ text rule is stated once.
 from __future__ import annotations
 
 from passageworks.catalog.inputs import CHUNK_TOKENS, TOPICS
-from passageworks.catalog.queries import WIDE_CONTEXT
+from passageworks.catalog.queries import PIPELINE_CONTEXT, WIDE_CONTEXT
 from passageworks.functions import fixed
 from passageworks.functions.text import WS_CLASS
 from passageworks.functions.tokens import TOKEN_PATTERN
@@ -290,7 +290,7 @@ ORACLES["constraint_report"] = f"""WITH {USERS}, {TICKETS}, {MESSAGES}, {VECTORS
     ('not_null', 'ticket_id', bad('ticket_id IS NULL')),
     ('not_null', 'created_at', bad('created_at IS NULL')),
     ('not_null', 'body', bad('body IS NULL')),
-    ('max_length', 'body', bad('length(body) > 20')),
+    ('max_length', 'body', bad('length(body) > 17')),
     ('unique', 'ticket_id,created_at', 'count(*) - count(DISTINCT (ticket_id, created_at))'),
     ('foreign_key', 'ticket_id',
      bad("ticket_id NOT IN (SELECT id FROM tickets WHERE status = 'F')")),
@@ -430,7 +430,7 @@ ORACLES["answer_pipeline"] = f"""WITH RECURSIVE {CONVERSATIONS}, {QUESTIONS}, {H
 contents AS (SELECT id, content FROM numbered),
 {embedded('content_vectors', 'numbered', 'id', 'content')},
 chunks AS MATERIALIZED (SELECT id, source_id, v FROM numbered JOIN content_vectors ON key = id),
-{ASKED}, {retrieval()}, {contexts(700)}, {ROUTED}
+{ASKED}, {retrieval()}, {contexts(PIPELINE_CONTEXT)}, {ROUTED}
 SELECT qid, context, reply, CASE WHEN prompt IS NOT NULL THEN {REQUEST} END AS request FROM routed"""
 
 ORACLES["question_stream_answers"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {ASKED},

@@ -27,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 ANN_LISTS, ANN_PROBES = 10, 3
-WIDE_CONTEXT = 12_000
+WIDE_CONTEXT, PIPELINE_CONTEXT = 12_000, 2_500
 
 
 def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
@@ -117,7 +117,7 @@ def constraint_report(t: Inputs) -> DataFrame:
         ("id",), ("user_id", "closed_at"), {"priority": 8}, foreign_keys=("user_id",)
     )
     message_spec = TableSpec(
-        ("ticket_id", "created_at"), ("body",), {"body": 20}, foreign_keys=("ticket_id",)
+        ("ticket_id", "created_at"), ("body",), {"body": 17}, foreign_keys=("ticket_id",)
     )
     chunk_spec = TableSpec(("id",), ("source_id",), vector_dims={"embedding": 64})
     answered = tickets.filter("status = 'F'")
@@ -423,7 +423,7 @@ def answer_pipeline(t: Inputs) -> DataFrame:
         _conversations(t), work_path(t.spark, "pipeline"),
         max_tokens=CHUNK_TOKENS, topics=TOPICS,
     )
-    return answer_table(chunks, _questions(t), max_context=700).select(
+    return answer_table(chunks, _questions(t), max_context=PIPELINE_CONTEXT).select(
         "qid", "context", "reply", "request"
     )
 

@@ -31,7 +31,7 @@ def _key(value):
     if value is None:
         return (0, "")
     if isinstance(value, float):
-        return (1, f"{value:.6f}")
+        return (1, repr(value))
     if isinstance(value, dt.datetime):
         return (1, value.isoformat())
     return (1, str(value))
