@@ -113,8 +113,10 @@ class Inputs:
 
     def content_chunks(self) -> DataFrame:
         """Vectors with the document of the same id as content."""
-        docs = self.table("documents").select(
-            F.col("doc_id").alias("id"), F.col("text").alias("content")
+        docs = spread(
+            self.table("documents").select(
+                F.col("doc_id").alias("id"), F.col("text").alias("content")
+            )
         )
         return self.vector_chunks().join(docs, "id")
 

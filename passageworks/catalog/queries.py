@@ -228,7 +228,7 @@ def hybrid_chunks(t: Inputs) -> DataFrame:
 def hash_embeddings(t: Inputs) -> DataFrame:
     vecs = embed(t.document_paragraphs(), "paragraph")
     return (
-        vecs.select("doc_id", F.posexplode("embedding").alias("component", "v"))
+        vecs.select("doc_id", F.posexplode_outer("embedding").alias("component", "v"))
         .filter("v <> 0")
         .select("doc_id", "component", F.round(F.col("v").cast("double"), 6).alias("v"))
     )
@@ -294,11 +294,17 @@ def two_stage_retrieval(t: Inputs) -> DataFrame:
 @query
 def text_retrieval(t: Inputs) -> DataFrame:
     """User turns against whole documents, both embedded from text."""
-    chunks = embed(t.document_chunks())
+    chunks = _stored_document_chunks(t)
     questions = embed(_questions(t), "question").select("qid", "embedding")
     return _rounded(ranking.retrieve(chunks, questions), "score", "group_score")
 
 
+def _stored_document_chunks(t: Inputs) -> DataFrame:
+    path = work_path(t.spark, "chunks")
+    tables.refresh_files(embed(t.document_chunks()), path)
+    return tables.spread(tables.read_files(t.spark, path))
+
+
 def _questions(t: Inputs) -> DataFrame:
     return t.user_turns().select(
         F.col("turn_id").alias("qid"), text.strip(F.col("text")).alias("question")
@@ -423,7 +429,9 @@ def answer_pipeline(t: Inputs) -> DataFrame:
         _conversations(t), work_path(t.spark, "pipeline"),
         max_tokens=CHUNK_TOKENS, topics=TOPICS,
     )
-    return answer_table(chunks, _questions(t), max_context=PIPELINE_CONTEXT).select(
+    return answer_table(
+        tables.spread(chunks), _questions(t), max_context=PIPELINE_CONTEXT
+    ).select(
         "qid", "context", "reply", "request"
     )
 
@@ -433,10 +441,8 @@ def question_stream_answers(t: Inputs) -> DataFrame:
     """User turns arriving as JSON files, asked against whole documents."""
     source, out, state = (work_path(t.spark, n) for n in ("ask", "answers", "state"))
     _questions(t).write.json(source)
-    path = work_path(t.spark, "chunks")
-    embed(t.document_chunks()).write.parquet(path)
     stream = answer_stream(
-        question_stream(t.spark, source), t.spark.read.parquet(path), out, state,
+        question_stream(t.spark, source), _stored_document_chunks(t), out, state,
         available_now=True, max_context=WIDE_CONTEXT,
     )
     stream.awaitTermination()

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
@@ -50,11 +51,11 @@ def batch_counter(
     def counts(texts: pa.Array) -> pa.Array:
         return pa.array(list(fn(texts.fill_null("").to_pylist())), pa.int32())
 
-    @F.arrow_udf("int")
+    @F.arrow_udf(T.IntegerType())
     def one(texts: pa.Array) -> pa.Array:
         return counts(texts)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def each(lists: pa.Array) -> pa.Array:
         return pa.ListArray.from_arrays(
             _offsets(lists), counts(lists.flatten())

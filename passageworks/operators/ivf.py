@@ -43,7 +43,7 @@ def nearest_cells(centres: np.ndarray, probes: int):
             n = len(vectors)
             order = np.zeros((0, probes), np.int32)
             if n:
-                far = norms[None, :] - 2.0 * (matrix(vectors) @ centres.T)
+                far = norms[None, :] - 2.0 * (matrix(vectors).astype(np.float64) @ centres.T)
                 order = np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)
             offsets = np.arange(0, (n + 1) * probes, probes, dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.reshape(-1)))
@@ -92,8 +92,9 @@ def ann_topk(
 
     With as many probes as cells the result equals the exact search.
     """
+    # The outer form spares an inferred size filter, hence a second UDF call.
     probed = questions.select(
-        "qid", F.explode(nearest_cells(centres, nprobe)(F.col("embedding"))).alias("cell")
+        "qid", F.explode_outer(nearest_cells(centres, nprobe)(F.col("embedding"))).alias("cell")
     )
     return nearest(
         indexed, questions, k, carry="source_id", group="cell", routes=probed, **search

@@ -3,9 +3,10 @@
 Distances are Euclidean.  Each task scores its chunks against a block of
 questions with one matrix product per Arrow batch and keeps the k nearest per
 question, so at most k rows per question leave a task: the pairs themselves are
-never rows.  The product only preselects (with a margin over its rounding
-error); kept distances are computed from differences and rounded to
-`TIE_DECIMALS`, and ties go to the smaller chunk id.
+never rows.  The product, in single precision, only preselects, with a margin
+over its largest possible rounding error; kept distances are computed from
+differences in double precision and rounded to `TIE_DECIMALS`, and ties go to
+the smaller chunk id.
 
 Questions are broadcast when they fit `MAX_QUESTIONS` and `MAX_QUESTION_BYTES`.
 A larger question table is joined block by block: blocks of chunks meet blocks of questions in
@@ -15,6 +16,7 @@ cogrouped tasks of bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +43,43 @@ _NULL = np.iinfo(np.int64).min
 
 
 def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """An Arrow list column as a float64 matrix; rows must have equal widths."""
+    """An Arrow list column as a matrix of its type; rows must have equal widths."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     if len(vectors) == 0:
-        return np.zeros((0, 0))
+        return np.zeros((0, 0), np.float32)
     widths = set(vectors.value_lengths().to_pylist())
     if len(widths) != 1 or vectors.null_count:
         raise ValueError(f"vectors of different or missing widths: {widths}")
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(vectors), widths.pop())
+    return flat.reshape(len(vectors), widths.pop())
+
+
+@dataclass(frozen=True)
+class Questions:
+    """A question table and, when it is within the bounds, its rows.
+
+    Gather it once to search several times: the vectors are then computed once.
+    """
+
+    frame: DataFrame
+    qids: np.ndarray | None = None
+    vectors: np.ndarray | None = None
+
+    @property
+    def small(self) -> bool:
+        return self.qids is not None
+
+
+def gather(questions: DataFrame, max_questions: int = MAX_QUESTIONS) -> Questions:
+    """Read (qid, embedding); at most `max_questions` + 1 rows reach the driver."""
+    frame = questions.select(F.col("qid").cast("long"), F.col("embedding"))
+    rows = frame.limit(max_questions + 1).toArrow()
+    if rows.num_rows <= max_questions:
+        vectors = matrix(rows["embedding"]).astype(np.float64)
+        if vectors.nbytes <= MAX_QUESTION_BYTES:
+            return Questions(frame, rows["qid"].to_numpy(), vectors)
+    return Questions(frame)
 
 
 class NearestRows:
@@ -61,6 +90,7 @@ class NearestRows:
         self.bounds = np.full(lanes, np.inf) if bounds is None else bounds.copy()
         none = np.empty(0, np.int64)
         self._kept = [none, np.empty(0), none, none]
+        self._near = np.full((lanes, k), np.inf, np.float32)
         self._new: list[list[np.ndarray]] = []
         self._waiting = 0
         self._room = max(1 << 16, 2 * lanes * k)
@@ -82,21 +112,27 @@ class NearestRows:
                 self._tile(ids[tile], carried[tile], rows[tile], lanes[some], points[some])
 
     def _tile(self, ids, carried, x, lanes, p) -> None:
-        x_norm, p_norm = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", p, p)
-        squared = p @ x.T
+        x_single, p_single = x.astype(np.float32, copy=False), p.astype(np.float32, copy=False)
+        x_norm = np.einsum("ij,ij->i", x_single, x_single)
+        p_norm = np.einsum("ij,ij->i", p_single, p_single)
+        squared = p_single @ x_single.T
         squared *= -2.0
         squared += p_norm[:, None]
         squared += x_norm[None, :]
-        error = 1e-12 * (x_norm.max() + p_norm)
-        reach = self.bounds[lanes]
-        if len(x) > self.k:
-            kth = np.partition(squared, self.k - 1, axis=1)[:, self.k - 1]
-            reach = np.minimum(reach, np.sqrt(np.maximum(kth + error, 0.0)))
-        limit = (reach + 2 * _TIE) ** 2 + error
+        # A dot product of n terms is off by n half-ulps of |x||p| at most, the
+        # norms likewise, and the conversions and sums by a few more.
+        error = (3 * x.shape[1] + 40) * np.float32(2.0**-24) * (x_norm.max() + p_norm)
+        # The k smallest estimates so far; k rows are as near as the last of them.
+        seen = np.concatenate([self._near[lanes], squared + error[:, None]], axis=1)
+        seen = np.partition(seen, self.k - 1, axis=1)[:, : self.k]
+        self._near[lanes] = seen
+        kth = np.sqrt(np.maximum(seen[:, self.k - 1], 0.0).astype(np.float64)) + _TIE
+        reach = np.minimum(self.bounds[lanes], kth)
+        limit = (reach + 2 * _TIE) ** 2 + error.astype(np.float64)
         lane_at, row_at = np.nonzero(squared <= limit[:, None])
         for i in range(0, len(lane_at), _EXACT_PAIRS):
             a, b = lane_at[i : i + _EXACT_PAIRS], row_at[i : i + _EXACT_PAIRS]
-            diff = x[b] - p[a]
+            diff = x[b].astype(np.float64) - p[a]
             d = np.round(np.sqrt(np.einsum("ij,ij->i", diff, diff)), TIE_DECIMALS)
             self._new.append([lanes[a], d, ids[b], carried[b]])
             self._waiting += len(a)
@@ -159,7 +195,7 @@ def _longs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def nearest(
     chunks: DataFrame,
-    questions: DataFrame,
+    questions: DataFrame | Questions,
     k: int,
     *,
     chunk_id: str = "id",
@@ -175,7 +211,7 @@ def nearest(
 ) -> DataFrame:
     """(qid, chunk_id, d, rank): the `k` nearest chunks of each question.
 
-    `questions` has qid and embedding.  `carry` names an integer chunk column to
+    `questions` has qid and embedding, or was gathered before.  `carry` names an integer chunk column to
     keep.  With `routes` (qid, `group`, any labels)
     a question only sees the chunks of its groups; `per_group` then ranks within
     each (qid, group) and keeps the labels.
@@ -192,8 +228,8 @@ def nearest(
         *([F.col(group).cast("long").alias("_group")] if group else []),
         F.col(vector).alias("_vector"),
     )
-    points = questions.select(F.col("qid").cast("long"), F.col("embedding"))
-    labels = points.select("qid")
+    asked = questions if isinstance(questions, Questions) else gather(questions, max_questions)
+    labels = asked.frame.select("qid")
     if routes is not None:
         labels = routes.withColumns(
             {"qid": F.col("qid").cast("long"), "_group": F.col(group).cast("long")}
@@ -206,10 +242,10 @@ def nearest(
         T.StructType(names).add("chunk_id", "long").add("_carried", "long").add("d", "double")
     )
 
-    block = _bounded_block(points, None if routes is None else labels, max_questions)
+    block = _bounded_block(asked, None if routes is None else labels)
     if block is None:
         found = _search_blocks(
-            source, points, labels, routes is not None, per_group, k, schema,
+            source, asked.frame, labels, routes is not None, per_group, k, schema,
             block_chunks, block_questions,
         )
     elif block.lanes == 0:
@@ -246,22 +282,16 @@ def _ranked(found: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     ).filter(F.col("rank") <= k)
 
 
-def _bounded_block(
-    points: DataFrame, labels: DataFrame | None, max_questions: int
-) -> _Lanes | None:
-    """The questions on the driver, or None when they exceed the bound."""
-    table = points.limit(max_questions + 1).toArrow()
-    if table.num_rows > max_questions:
-        return None
-    vectors = matrix(table["embedding"])
-    if vectors.nbytes > MAX_QUESTION_BYTES:
+def _bounded_block(asked: Questions, labels: DataFrame | None) -> _Lanes | None:
+    """Questions and routes on the driver, or None when they exceed the bounds."""
+    if not asked.small:
         return None
-    qids = table["qid"].to_numpy()
+    qids, vectors = asked.qids, asked.vectors
     if labels is None:
-        return _Lanes(table.select(["qid"]), vectors, np.arange(len(qids)), None)
-    most_routes = max_questions * 16  # these have no vectors
-    routed = labels.limit(most_routes + 1).toArrow()
-    if routed.num_rows > most_routes:
+        return _Lanes(pa.table({"qid": qids}), vectors, np.arange(len(qids)), None)
+    most = MAX_QUESTIONS * 16  # routes have no vectors
+    routed = labels.limit(most + 1).toArrow()
+    if routed.num_rows > most:
         return None
     order = np.argsort(qids)
     wanted = routed["qid"].to_numpy()
@@ -387,7 +417,7 @@ def _search_blocks(
             _longs(chunk_rows["_carried"]),
             matrix(chunk_rows["_vector"]),
             np.arange(question_rows.num_rows),
-            matrix(question_rows["embedding"]),
+            matrix(question_rows["embedding"]).astype(np.float64),
         )
         names = question_rows.select(label_names)
         return pa.Table.from_batches(_emit(best, names, arrow_schema), arrow_schema)

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from passageworks.functions import fixed
 from passageworks.functions.vectors import TIE_DECIMALS, score
-from passageworks.operators.nearest import nearest
+from passageworks.operators.nearest import MAX_QUESTIONS, Questions, gather, nearest
 
 
 def candidates(
-    chunks: DataFrame, questions: DataFrame, candidate_k: int = fixed.CANDIDATE_K, **search
+    chunks: DataFrame,
+    questions: DataFrame | Questions,
+    candidate_k: int = fixed.CANDIDATE_K,
+    **search,
 ) -> DataFrame:
     """(qid, chunk_id, source_id, d, score, rank): nearest chunks of any source.
 
@@ -52,7 +55,7 @@ def top_groups(hits: DataFrame, n: int = fixed.TOP_GROUPS) -> DataFrame:
 
 def group_chunks(
     chunks: DataFrame,
-    questions: DataFrame,
+    questions: DataFrame | Questions,
     groups: DataFrame,
     top_k: int = fixed.TOP_K,
     **search,
@@ -80,10 +83,12 @@ def retrieve(
     candidate_k: int = fixed.CANDIDATE_K,
     groups: int = fixed.TOP_GROUPS,
     top_k: int = fixed.TOP_K,
+    max_questions: int = MAX_QUESTIONS,
     **search,
 ) -> DataFrame:
     """Both stages.  The first runs when this is called, because its winners
     route the second; only the winners come back to the driver, and only when
     the question table is within the broadcast bound."""
-    best = top_groups(candidates(chunks, questions, candidate_k, **search), groups)
-    return group_chunks(chunks, questions, best, top_k, **search)
+    asked = gather(questions, max_questions)
+    best = top_groups(candidates(chunks, asked, candidate_k, **search), groups)
+    return group_chunks(chunks, asked, best, top_k, **search)
