@@ -33,6 +33,8 @@ MAX_QUESTION_BYTES = 128 << 20
 # A result proven to have at most this many (short) rows may be broadcast.
 MAX_BROADCAST_ROWS = 500_000
 MAX_LITERAL_GROUPS = 1_000
+# From this size on, results of a question are merged in two steps.
+THIN_BYTES, THIN_WAYS = 64 << 30, 32
 # Rows of chunks and of questions that meet in one cogrouped task.
 BLOCK_CHUNKS = 32_768
 BLOCK_QUESTIONS = 4_096
@@ -254,30 +256,37 @@ def nearest(
         bounds = None
         if seed_fraction > 0 and routes is None:
             seed = _search_broadcast(source.sample(seed_fraction, seed=17), block, k, schema, None)
-            bounds = _kth_distances(_ranked(seed, keys, k), block, k)
+            bounds = _kth_distances(_ranked(seed, keys, k, thin=_many_tasks(source)), block, k)
         found = _search_broadcast(source, block, k, schema, bounds)
-    result = _ranked(found, keys, k)
+    result = _ranked(found, keys, k, thin=_many_tasks(source))
     result = result.withColumnRenamed("_carried", carry) if carry else result.drop("_carried")
     if block is not None and block.lanes * k <= MAX_BROADCAST_ROWS:
         return F.broadcast(result)  # a hint for a later join, and proven small
     return result
 
 
-def _ranked(found: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+def _many_tasks(source: DataFrame) -> bool:
+    """Whether the scan is estimated, from file sizes, to have very many tasks."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size > THIN_BYTES
+
+
+def _ranked(found: DataFrame, keys: Sequence[str], k: int, thin: bool) -> DataFrame:
     """Rank the rows of all tasks and keep `k` per key.
 
-    A key has up to k rows from every task.  They are thinned in several tasks
-    per key before they meet in one.
+    A key has up to k rows from every task.  When tasks are many, the rows are
+    thinned in several tasks per key before they meet in one.
     """
     near = [F.col("d"), F.col("chunk_id")]
-    ways = F.pmod(F.xxhash64("chunk_id"), F.lit(16)).alias("_way")
-    thin = (
-        found.select("*", ways)
-        .withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_way").orderBy(*near)))
-        .filter(F.col("_r") <= k)
-        .drop("_r", "_way")
-    )
-    return thin.withColumn(
+    if thin:
+        ways = F.pmod(F.xxhash64("chunk_id"), F.lit(THIN_WAYS)).alias("_way")
+        found = (
+            found.select("*", ways)
+            .withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_way").orderBy(*near)))
+            .filter(F.col("_r") <= k)
+            .drop("_r", "_way")
+        )
+    return found.withColumn(
         "rank", F.row_number().over(W.partitionBy(*keys).orderBy(*near))
     ).filter(F.col("rank") <= k)
 

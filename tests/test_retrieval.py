@@ -221,6 +221,32 @@ def test_blocks_show_group_and_order(spark):
     assert [r.block for r in rows] == ["[TICKET 42]\nnear\n\n---\n\nfar", "[TICKET 43]\nother"]
 
 
+@pytest.mark.parametrize("budget", [-1, 2, 4, 30, 33, 60, 90, 1000])
+def test_packing_hits_equals_packing_blocks(spark, budget):
+    words = "alma, körte! szilva"
+    rows = [
+        (q, 40 + g, g, r, f"{words} {q} {g} " * (q + r))
+        for q in range(1, 5) for g in (1, 2) for r in range(1, q + g)
+    ]
+    hits = spark.createDataFrame(
+        rows, "qid long, source_id long, group_rank int, rank int, content string"
+    )
+    by_block = packing.pack_contexts(packing.group_blocks(hits), budget, 0)
+    by_hit = packing.pack_hits(hits, budget, 0)
+    assert sorted(by_hit.collect()) == sorted(by_block.collect())
+
+
+def test_merging_in_two_steps(cloud, monkeypatch):
+    from passageworks.operators import nearest as module
+
+    monkeypatch.setattr(module, "THIN_BYTES", 0)
+    df, questions, vectors, asked, _ = cloud
+    got = {}
+    for r in nearest(df, questions, 13).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.chunk_id)
+    assert got == brute(vectors, asked, 13)
+
+
 def test_prompts_and_requests(spark):
     questions = spark.createDataFrame([(1, "Mi?"), (2, "Hol?"), (3, "Ki?")], "qid long, question string")
     contexts = spark.createDataFrame([(1, "szöveg"), (2, "")], "qid long, context string")
