@@ -28,13 +28,11 @@ HEADLINES = [
     "hash_embeddings",
     "chunk_table",
     "candidate_topk",
-    "group_scores",
     "group_chunks_topk",
     "two_stage_retrieval",
     "text_retrieval",
     "ann_exact",
     "context_pack",
-    "context_pack_wide",
     "chat_requests",
     "response_audit",
     "answer_pipeline",

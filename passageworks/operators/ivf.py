@@ -61,19 +61,14 @@ def write_index(
     centres: np.ndarray,
     path: str,
     vector: str = "embedding",
-    chunk_id: str = "id",
-    ways: int = 16,
 ) -> None:
     """Store chunks by cell, so that a search reads the probed cells only.
 
-    A cell is written by up to `ways` tasks: a very full cell is no bottleneck.
+    Rebalancing lets adaptive execution split a very full cell over several
+    tasks and merge small ones.
     """
-    placed = assign_cells(chunks, centres, vector).withColumn(
-        "_way", F.pmod(F.xxhash64(chunk_id), F.lit(ways))
-    )
-    placed.repartition("cell", "_way").drop("_way").write.mode("overwrite").partitionBy(
-        "cell"
-    ).parquet(path)
+    placed = assign_cells(chunks, centres, vector).hint("rebalance", "cell")
+    placed.write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

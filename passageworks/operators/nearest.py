@@ -31,7 +31,7 @@ from passageworks.functions.vectors import TIE_DECIMALS
 MAX_QUESTIONS = 16_384
 MAX_QUESTION_BYTES = 128 << 20
 # A result proven to have at most this many (short) rows may be broadcast.
-MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_ROWS = 1_000_000
 MAX_LITERAL_GROUPS = 1_000
 # From this size on, results of a question are merged in two steps.
 THIN_BYTES, THIN_WAYS = 64 << 30, 32

@@ -69,4 +69,16 @@ def work_root(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{work_root(spark)}/passageworks/{name}-{uuid.uuid4().hex}"
+    return f"{_work_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_work(spark: SparkSession, path: str) -> None:
+    """Delete a table made under `work_path`, once nothing reads it any more."""
+    if not path.startswith(_work_tables(spark) + "/"):
+        raise ValueError(f"not a work path: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _work_tables(spark: SparkSession) -> str:
+    return f"{work_root(spark)}/passageworks"

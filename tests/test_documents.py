@@ -9,7 +9,8 @@ from passageworks.functions import fixed
 from passageworks.operators import documents, quality
 from passageworks.operators.ids import dense_ids
 from passageworks.operators.ordered import ordered_concat
-from passageworks.session import work_path
+from passageworks.plans.index import build_index
+from passageworks.session import remove_work, work_path
 from passageworks.sources import schemas, tables
 from passageworks.sources.questions import question_rows
 
@@ -103,6 +104,21 @@ def test_require_rows(spark):
         quality.require_rows(spark.range(0), "tickets")
 
 
+def test_index_of_nothing_is_an_error_and_keeps_the_table(spark):
+    path = work_path(spark, "kept")
+    docs = spark.createDataFrame([(1, "egy"), (2, "kettő")], "doc_id long, text string")
+    assert build_index(docs, path, dim=4).count() == 2
+    for empty in (docs.filter("doc_id < 0"), docs.withColumn("text", F.lit(" \n "))):
+        with pytest.raises(quality.EmptyInputError):
+            build_index(empty, path, dim=4)
+    rows = spark.read.parquet(path).orderBy("id").collect()
+    assert [(r.id, r.source_id, r.content) for r in rows] == [
+        (1, 1, "[Általános] egy"),
+        (2, 2, "[Általános] kettő"),
+    ]
+    assert {r.source_table for r in rows} == {"tickets"}
+
+
 def test_dense_ids(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("x")).repartition(13)
     rows = dense_ids(df, ["x"]).orderBy("x").collect()
@@ -143,5 +159,12 @@ def test_fixed_schemas_have_the_declared_vector_size():
     assert schemas.SPECS["rag_chunks"].vector_dims == {"embedding": fixed.EMBEDDING_DIM}
 
 
-def test_work_paths_are_unique(spark):
-    assert work_path(spark, "a") != work_path(spark, "a")
+def test_work_paths(spark):
+    path = work_path(spark, "a")
+    assert path != work_path(spark, "a")
+    spark.range(3).write.parquet(path)
+    remove_work(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    with pytest.raises(ValueError):
+        remove_work(spark, "/elsewhere")
