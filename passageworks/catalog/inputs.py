@@ -39,7 +39,7 @@ class Inputs:
 
     def tickets(self) -> DataFrame:
         open_ = F.col("o_orderstatus") == "O"
-        return self.table("orders").select(
+        return spread(self.table("orders"), "o_orderkey").select(
             F.col("o_orderkey").alias("id"),
             F.col("o_custkey").alias("user_id"),
             F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
@@ -51,7 +51,7 @@ class Inputs:
         )
 
     def messages(self) -> DataFrame:
-        return self.table("lineitem").select(
+        return spread(self.table("lineitem"), "l_orderkey").select(
             (
                 (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey")) * 10
                 + F.col("l_linenumber")

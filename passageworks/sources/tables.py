@@ -19,13 +19,14 @@ def read_files(
     return reader.parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Repartition a scan with fewer splits than cores, for CPU-heavy steps.
 
     A scan of many files or row groups comes back as it is, without a shuffle.
+    With `keys` a later aggregation or join on them needs no further one.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def read_jdbc(
