@@ -51,9 +51,9 @@ def split_sentences(paragraph: Column) -> Column:
 
 
 def contains_any(lowered: Column, words: Sequence[str]) -> Column:
-    return reduce(
-        lambda acc, c: acc | c, (F.contains(lowered, F.lit(w)) for w in words)
-    )
+    """Whether any of the words is a substring; false without words."""
+    tests = [F.contains(lowered, F.lit(w)) for w in words]
+    return reduce(Column.__or__, tests) if tests else F.lit(False)
 
 
 def keyword_set(topics: Mapping[str, Sequence[str]]) -> list[str]:

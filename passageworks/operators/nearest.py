@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from passageworks.functions.vectors import TIE_DECIMALS
+from passageworks.session import stored
 
 MAX_QUESTIONS = 16_384
 MAX_QUESTION_BYTES = 128 << 20
@@ -380,11 +381,18 @@ def _search_blocks(
 
     A group with many chunks or questions is cut into as many blocks as its
     counts ask for; every pair of blocks is one cogrouped task of bounded size.
+    Questions and routes are stored first: they are read several times, and may
+    come from a whole search.
     """
     arrow_schema = to_arrow_schema(schema)
-    if not grouped:
-        source = source.withColumn("_group", F.lit(0).cast("long"))
-        labels = labels.withColumn("_group", F.lit(0).cast("long"))
+    points = stored(points, "questions")
+    if grouped:
+        labels = stored(labels, "routes")
+        groups = labels.select("_group").distinct().limit(MAX_BROADCAST_ROWS + 1).count()
+    else:
+        zero = F.lit(0).cast("long")
+        source, labels = source.withColumn("_group", zero), points.select("qid", zero.alias("_group"))
+        groups = 1
     fan = (
         source.groupBy("_group")
         .agg(F.count("*").alias("_nc"))
@@ -396,6 +404,9 @@ def _search_blocks(
         )
     )
 
+    if groups <= MAX_BROADCAST_ROWS:
+        fan = F.broadcast(fan)  # one short row per routed group
+
     def blocks(n: str, of: str):
         return F.pmod(F.xxhash64(of), F.col(n)).cast("int")
 

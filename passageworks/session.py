@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -72,6 +72,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{_work_tables(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to a work table and read that: computed once, lineage cut."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_work(spark: SparkSession, path: str) -> None:
     """Delete a table made under `work_path`, once nothing reads it any more."""
     if not path.startswith(_work_tables(spark) + "/"):
