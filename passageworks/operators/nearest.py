@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,11 +52,11 @@ def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
         vectors = vectors.combine_chunks()
     if len(vectors) == 0:
         return np.zeros((0, 0), np.float32)
-    widths = set(vectors.value_lengths().to_pylist())
-    if len(widths) != 1 or vectors.null_count:
+    widths = pc.min_max(vectors.value_lengths()).as_py()
+    if widths["min"] != widths["max"] or vectors.null_count:
         raise ValueError(f"vectors of different or missing widths: {widths}")
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(vectors), widths.pop())
+    return flat.reshape(len(vectors), widths["min"])
 
 
 @dataclass(frozen=True)

@@ -175,6 +175,37 @@ def test_embedding_of_a_wrong_width_fails(spark):
         embed(df, load=lambda: lambda t: np.zeros((len(t), 3)), dim=2).collect()
 
 
+def test_stream_answers_each_question_once(spark):
+    """Two batches, a blank row, a quit word, and a restart that finds nothing new."""
+    import json
+    import pathlib
+
+    from passageworks.streaming.questions import answer_stream, question_stream
+
+    source, out, state = (work_path(spark, n) for n in ("s-in", "s-out", "s-state"))
+    folder = pathlib.Path(source.removeprefix("file:"))
+    folder.mkdir(parents=True)
+    files = [[(1, "alma"), (2, " ")], [(3, "körte"), (4, "QUIT")]]
+    for i, rows in enumerate(files):
+        lines = [json.dumps({"qid": q, "question": t}) for q, t in rows]
+        (folder / f"{i}.json").write_text("\n".join(lines))
+    texts = spark.createDataFrame(
+        [(1, 10, "alma fa"), (2, 11, "körte fa")], "id long, source_id long, content string"
+    )
+    chunks = embed(texts, dim=32)
+    for _ in range(2):
+        stream = answer_stream(
+            question_stream(spark, source, files_per_batch=1), chunks, out, state,
+            available_now=True, dim=32, groups=1,
+        )
+        stream.awaitTermination()
+    rows = {r.qid: r for r in spark.read.parquet(out).collect()}
+    assert set(rows) == {1, 3} and spark.read.parquet(out).count() == 2
+    assert rows[1].context == "[TICKET 10]\nalma fa"
+    assert rows[3].context == "[TICKET 11]\nkörte fa"
+    assert {r.batch for r in rows.values()} == {0, 1}
+
+
 WORDS = batch_counter(lambda texts: [len(t.split()) for t in texts])
 # Counts a joined text lower than its parts, as a merging tokenizer may.
 MERGING = batch_counter(lambda texts: [max(0, len(t.split()) - 2 * t.count("=" * 20)) for t in texts])
