@@ -136,7 +136,7 @@ def constraint_report(t: Inputs) -> DataFrame:
 
 @query
 def ticket_conversations(t: Inputs) -> DataFrame:
-    rows = documents.ticket_rows(t.tickets(), t.users(), t.messages())
+    rows = documents.ticket_rows(*_ticket_tables(t))
     return rows.select(
         "ticket_id",
         "user_name",
@@ -148,7 +148,12 @@ def ticket_conversations(t: Inputs) -> DataFrame:
 
 @query
 def document_assembly(t: Inputs) -> DataFrame:
-    return documents.ticket_documents(t.tickets(), t.users(), t.messages())
+    return documents.ticket_documents(*_ticket_tables(t))
+
+
+def _ticket_tables(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tickets = tables.spread(t.tickets(), "id")
+    return tickets, t.users(), tables.spread(t.messages(), "ticket_id")
 
 
 @query
