@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passageworks.llm import quality
+from passageworks.llm import licenses, quality, secrets
 from passageworks.llm.oracles import ORACLES
 from passageworks.sources.tables import read_files
 
@@ -17,6 +17,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_files(spark, f"{folder}/{name}.parquet")
 
 
+def secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, folder, "documents")))
+
+
+def license_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents")).drop("detections")
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     labels = _table(spark, folder, "labels")
     return quality.judge(_table(spark, folder, "documents"), quality.trusted_ids(labels)).select(
@@ -26,5 +34,7 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_ownership": secret_ownership,
+    "op3_license_rules": license_rules,
     "op9_quality_rules": quality_rules,
 }
