@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passageworks.llm import licenses, quality, secrets
+from passageworks.llm import archives, licenses, quality, secrets
 from passageworks.llm.oracles import ORACLES
 from passageworks.sources.tables import read_files
 
@@ -33,8 +33,15 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def warc_packages(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.round_trip(_table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": secret_ownership,
     "op3_license_rules": license_rules,
     "op9_quality_rules": quality_rules,
+    "op10_warc_packages": warc_packages,
 }
