@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from passageworks.llm import archives, licenses, quality, secrets
+from passageworks.llm import archives, licenses, packing, quality, secrets
 from passageworks.llm.oracles import ORACLES
 from passageworks.sources.tables import read_files
 
@@ -39,9 +40,15 @@ def warc_packages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(_table(spark, folder, "documents"), path, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": secret_ownership,
     "op3_license_rules": license_rules,
+    "op8_curve_packing": curve_packing,
     "op9_quality_rules": quality_rules,
     "op10_warc_packages": warc_packages,
 }
