@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passageworks.llm import archives, licenses, packing, quality, secrets
+from passageworks.llm import archives, licenses, packing, quality, secrets, toxicity
 from passageworks.llm.oracles import ORACLES
 from passageworks.sources.tables import read_files
 
@@ -40,6 +41,18 @@ def warc_packages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    scored = toxicity.score(
+        _table(spark, folder, "documents"), _table(spark, folder, "labels"), held_out=held_out
+    )
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= toxicity.PREDICT_FROM).cast("int").alias("predicted"), "n_tokens",
+        F.size("passages").cast("long").alias("n_passages"),
+    )
+
+
 def curve_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(_table(spark, folder, "documents"), path, with_ids=False)
@@ -48,6 +61,7 @@ def curve_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": secret_ownership,
     "op3_license_rules": license_rules,
+    "op7_toxic_segments": toxic_segments,
     "op8_curve_packing": curve_packing,
     "op9_quality_rules": quality_rules,
     "op10_warc_packages": warc_packages,
