@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageworks.llm import archives, licenses, packing, quality, secrets, toxicity, wrappers
+from passageworks.llm import archives, licenses, packing, quality, secrets, suffixes, toxicity, wrappers
 from passageworks.llm.oracles import ORACLES
 from passageworks.sources.tables import read_files
 
@@ -45,6 +45,10 @@ def page_wrappers(spark: SparkSession, folder: str) -> DataFrame:
     return wrappers.extract(_table(spark, folder, "pages"))
 
 
+def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.deduplicate(_table(spark, folder, "documents"), with_text=False)
+
+
 def toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     scored = toxicity.score(
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": secret_ownership,
     "op3_license_rules": license_rules,
     "op5_page_wrappers": page_wrappers,
+    "op6_repeated_strings": repeated_strings,
     "op7_toxic_segments": toxic_segments,
     "op8_curve_packing": curve_packing,
     "op9_quality_rules": quality_rules,
