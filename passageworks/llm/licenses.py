@@ -175,18 +175,9 @@ def detections(joined: Column, table: list[Rule]) -> Column:
         )
         return let(both, located)
 
-    found = F.flatten(
-        F.transform(
-            F.filter(
-                all_rules,
-                lambda r: F.array_contains(
-                    F.array_distinct(F.regexp_extract_all(joined, F.lit(any_keyword), F.lit(0))),
-                    r["keyword"],
-                ),
-            ),
-            places,
-        )
-    )
+    held = F.array_distinct(F.regexp_extract_all(joined, F.lit(any_keyword), F.lit(0)))
+    chosen = let(held, lambda k: F.filter(all_rules, lambda r: F.array_contains(k, r["keyword"])))
+    found = F.flatten(F.transform(chosen, places))
     none = F.array().cast(
         "array<struct<start:bigint,back:bigint,priority:int,rank:int,label:string,weight:double>>"
     )
