@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageworks.llm import archives, licenses, packing, quality, secrets, suffixes, toxicity, wrappers
+from passageworks.llm import archives, leaks, licenses, near_copies, packing, quality, secrets, suffixes, toxicity, wrappers
 from passageworks.llm.oracles import ORACLES
 from passageworks.sources.tables import read_files
 
@@ -23,6 +23,14 @@ def secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, folder, "documents")))
 
 
+def near_copy_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies.classes(_table(spark, folder, "documents"))
+
+
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def license_rules(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents")).drop("detections")
 
@@ -68,7 +76,9 @@ def curve_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": secret_ownership,
+    "op2_near_copies": near_copy_classes,
     "op3_license_rules": license_rules,
+    "op4_benchmark_leaks": benchmark_leaks,
     "op5_page_wrappers": page_wrappers,
     "op6_repeated_strings": repeated_strings,
     "op7_toxic_segments": toxic_segments,

@@ -166,9 +166,15 @@ def judge(
     text_col: str = "text",
     buckets: int = BUCKETS,
     threshold: float = THRESHOLD,
+    carry: str | None = None,
 ) -> DataFrame:
-    """Per row of `docs`: the word counts, `ratio`, `base_failed` and `kept`."""
+    """Per row of `docs`: the word counts, `ratio`, `base_failed` and `kept`.
+
+    A column named by `carry` is handed on beside them.
+    """
     own = picked(docs, doc_id=id_col, text=text_col)
+    more = [] if carry is None else [carry]
+    rows_of = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *more)
     fitted = weights(own, trusted, buckets).select(F.concat_ws(",", F.col("weights").cast("array<string>")))
     # Folded to one array constant; subqueries can't stand inside lambdas.
     model = F.split(F.lit(fitted.first()[0]), ",").cast("array<double>")
@@ -187,8 +193,8 @@ def judge(
             ).alias("ratio"),
         ),
     )
-    rows = own.select(
-        "doc_id",
+    rows = rows_of.select(
+        "doc_id", *more,
         measured.alias("m"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -199,8 +205,15 @@ def judge(
     )
     return (
         rows.select(
-            "doc_id", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "m.ratio"
+            "doc_id", *more, "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "m.ratio"
         )
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= threshold))
     )
+
+
+def kept_only(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that `judge` keeps: judged where they lie."""
+    whole_row = F.struct(*(docs[c] for c in docs.columns))
+    judged = judge(docs.withColumn("_row", whole_row), trusted, id_col=id_col, text_col=text_col, carry="_row")
+    return judged.where("kept").select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
