@@ -2,8 +2,9 @@
 
 A document is kept when it passes the word rules and when the mean, over its words
 and word pairs, of log(p_trusted / p_corpus) reaches a threshold.  Both are
-multinomials over hash buckets with additive smoothing: the corpus' counts every
-document, the trusted one those of a trusted set of ids.
+multinomials over hash buckets: the corpus' counts every document, the trusted one those
+of a trusted set of ids.  Both are smoothed at the scale of the trusted counts, so that
+buckets too rare to tell weigh nothing, also in small tables.
 
 The bucket count does not depend on the data, so the weights are one array of
 `buckets` doubles, which the tasks get as a constant of the plan.
@@ -27,7 +28,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED = 30
 BUCKETS = 1 << 16
-SMOOTHING = 0.5
+#: Added to a bucket's trusted count and to the count its corpus share predicts.
+SMOOTHING = 10.0
 #: Mean log ratio below which a document is unlike the trusted ones.
 THRESHOLD = -0.15
 #: Most rows that the trusted multinomial is fitted on, about; their ids are broadcast.
@@ -146,14 +148,11 @@ def weights(
             F.sum("trusted").alias("n_trusted"),
         )
     )
-    room = F.lit(smoothing * buckets)
+    share = F.col("n_trusted") / F.greatest("n_corpus", F.lit(1))
     return dense.select(
         F.transform(
             "all",
-            lambda x: F.when(F.col("n_trusted") == 0, F.lit(0.0)).otherwise(
-                F.log((x["trusted"] + smoothing) / (F.col("n_trusted") + room))
-                - F.log((x["corpus"] + smoothing) / (F.col("n_corpus") + room))
-            ),
+            lambda x: F.log((x["trusted"] + smoothing) / (x["corpus"] * share + smoothing)),
         ).alias("weights")
     )
 
