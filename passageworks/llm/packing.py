@@ -17,6 +17,9 @@ whole row are documents of their own; without rows there is no piece.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +37,7 @@ LIMIT = 2048
 END_ID = 1
 DIMENSIONS, BITS = 4, 12
 #: Text bytes that a task works on at once, and words whose ids a worker remembers.
-WORK_BYTES, MEMORY_WORDS = 1 << 20, 1_000_000
+WORK_BYTES, MEMORY_WORDS = 4 << 20, 500_000
 #: Rows in a partition of the range sort.
 SORT_ROWS = 1 << 20
 
@@ -45,22 +48,59 @@ class Encoder:
     Such a tokenizer gives a text the ids of its words in turn, so each distinct word
     is encoded once and remembered.  Words end at spaces and line feeds only; other
     white space inside them is left to the tokenizer.
+
+    Where the tokenizer lower-cases, parts words at letters and maps bytes, plain words
+    of Latin letters, with or without ASCII marks behind, go to its model part by part.
     """
 
+    PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]*)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+        setup = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for k in ("normalizer", "pre_tokenizer") for x in _steps(setup[k])]
+        self.parted = steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+        self.shown = dict(zip(range(256), _byte_letters()))
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            shown = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
+            ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            found = self.parts[part] = np.array(ids, np.uint32).tobytes()
+        return found
+
+    def _plain(self, word: str) -> bytes | None:
+        m = self.PLAIN.fullmatch(word)
+        if m is None or not m[1].isalpha() or max(word) >= "\u0250":
+            return None
+        letters = m[1].lower()
+        if not word.isascii() and (len(letters) != len(m[1]) or not unicodedata.is_normalized("NFC", word)):
+            return None
+        return self._part(letters) + self._part(m[2])
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) > MEMORY_WORDS:
-            self.known = {"": b""}
+        for held in (self.known, self.parts):
+            if len(held) > MEMORY_WORDS:
+                held.clear()
+                held[""] = b""
         missing = [w for w in words if w not in self.known]
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for word, found in zip(part, encode(part, add_special_tokens=False)):
+        rest = missing
+        if self.parted:
+            rest = []
+            for word in missing:
+                found = self._plain(word)
+                if found is None:
+                    rest.append(word)
+                else:
+                    self.known[word] = found
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
                 self.known[word] = np.array(found.ids, np.uint32).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +110,7 @@ class Encoder:
         distinct = coded.dictionary.to_pylist()
         self._learn(distinct)
         found = [self.known[w] for w in distinct]
-        sizes = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids = np.frombuffer(b"".join(found), np.uint32)
         codes = coded.indices.to_numpy()
         per_word = sizes[codes]
@@ -81,6 +121,19 @@ class Encoder:
         return flat, sums[ends] - sums[ends - per_text]
 
 
+def _steps(setup: dict | None) -> list[dict]:
+    if setup is None:
+        return []
+    return setup.get("normalizers") or setup.get("pretokenizers") or [setup]
+
+
+def _byte_letters() -> list[str]:
+    """The letter of each byte in byte-level vocabularies: itself where it is printable."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 def vectors(ids: np.ndarray, counts: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     """Mean of the ids' hashed signs, a row per document; zero where there are no ids."""
     out = np.zeros((len(counts), dimensions))
