@@ -42,7 +42,8 @@ TRAIN_ROWS = 50_000
 MODEL_UNITS = 300_000
 PREFIXES = (3, 4, 5, 6)
 PRIOR, CAUTION, DRIFT = 1.0, 1.65, 0.3
-MIN_SEEN = 3
+#: Counts from which words, and distinct words from which prefixes, are known.
+MIN_SEEN, MIN_STEM = 3, 10
 MAX_LAMBDA = 3.0
 PREDICT_FROM = 0.7
 WORK_BYTES = 4 << 20
@@ -119,10 +120,16 @@ def probability(model: Model, found: float) -> float:
     return 1.0 / (1.0 + math.exp(-(model.intercept + model.slope * math.log1p(found))))
 
 
-def log_odds(counts: DataFrame) -> DataFrame:
-    """(unit, weight, z) of rows (unit, toxic, clean) by their shares of all counts."""
-    totals = counts.agg(F.sum("toxic").alias("all_toxic"), F.sum("clean").alias("all_clean"))
-    n1, n0 = (float(x or 0) for x in totals.first())
+def log_odds(counts: DataFrame, least: int) -> DataFrame:
+    """(unit, weight, z) of rows (unit, toxic, clean) by their shares of all counts.
+
+    Units with fewer counts than `least` are left out; they count for the shares only
+    where one of the classes has no others.
+    """
+    known = F.col("toxic") + F.col("clean") >= least
+    sums = [F.sum(F.when(w, F.col(c))) for w in (known, F.lit(True)) for c in ("toxic", "clean")]
+    found = [float(x or 0) for x in counts.agg(*sums).first()]
+    n1, n0 = found[:2] if all(found[:2]) else found[2:]
     if not n1 or not n0:
         return counts.select("unit", F.lit(0.0).alias("weight"), F.lit(0.0).alias("z")).limit(0)
     a1, a0 = PRIOR * n1 / (n1 + n0), PRIOR * n0 / (n1 + n0)
@@ -130,7 +137,7 @@ def log_odds(counts: DataFrame) -> DataFrame:
     odds = F.log(y1 / (n1 + PRIOR - y1)) - F.log(y0 / (n0 + PRIOR - y0))
     error = F.sqrt(1 / y1 + 1 / y0)
     weight = F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - CAUTION * error)
-    return counts.select("unit", weight.alias("weight"), (odds / error).alias("z"))
+    return counts.where(known).select("unit", weight.alias("weight"), (odds / error).alias("z"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int) -> DataFrame:
@@ -175,8 +182,7 @@ def unit_weights(train: DataFrame) -> dict[str, float]:
         .groupBy(F.concat(F.lit("^"), "prefix").alias("unit"))
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
-    seen = F.col("toxic") + F.col("clean") >= MIN_SEEN
-    both = log_odds(counts.where(seen)).unionByName(log_odds(prefixes.where(seen)))
+    both = log_odds(counts, MIN_SEEN).unionByName(log_odds(prefixes, MIN_STEM))
     chosen = both.orderBy(F.abs("z").desc(), "unit").limit(MODEL_UNITS)
     return {r["unit"]: r["weight"] for r in chosen.toLocalIterator()}
 

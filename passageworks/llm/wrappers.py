@@ -43,7 +43,7 @@ SALTS = 64
 WORK_BYTES = 4 << 20
 #: Pages of a slot from which the same text on all of them is no article text.
 CONSTANT_PAGES = 3
-LINK_SHARE = 0.6
+LINK_SHARE = 0.8
 
 # Fixed sets of HTML elements and of words in class, id and role attributes.
 RAW = "script style noscript template iframe svg math title textarea select object canvas head".split()
@@ -52,7 +52,10 @@ BLOCKS = (
     "table caption thead tbody tfoot tr td th form fieldset legend blockquote pre figure figcaption "
     "address details summary dialog button center hgroup menu search"
 ).split()
-CLOSED_BY_SAME = "li dt dd tr td th option".split()
+#: Open elements that the start of another one closes.
+CLOSES = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+}
 ASIDE_TAGS = set("nav aside footer form button menu dialog search fieldset".split())
 ASIDE_WORDS = set(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget ad ads advert adverts "
@@ -215,7 +218,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             continue
         if raws and raws[-1] == "p":
             close(len(stack) - 1)
-        if tag in CLOSED_BY_SAME and raws and raws[-1] == tag:
+        while raws and raws[-1] in CLOSES.get(tag, ()):
             close(len(stack) - 1)
         if len(stack) <= DEPTH:
             node = Node(label_of(tag, m[3]))
