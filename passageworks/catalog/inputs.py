@@ -111,15 +111,6 @@ class Inputs:
     def vector_questions(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("qid"), "embedding")
 
-    def content_chunks(self) -> DataFrame:
-        """Vectors with the document of the same id as content."""
-        docs = spread(
-            self.table("documents").select(
-                F.col("doc_id").alias("id"), F.col("text").alias("content")
-            )
-        )
-        return self.vector_chunks().join(docs, "id")
-
     def document_chunks(self) -> DataFrame:
         """(id, source_id, content): documents as chunks of their source."""
         return spread(

@@ -216,7 +216,7 @@ REQUEST = f"""to_json({{model: {lit(fixed.CHAT_MODEL)}, stream: false,
     stop: [{', '.join(map(lit, fixed.STOP_SEQUENCES))}]}}}})::VARCHAR"""
 TURN_CONTEXTS = """contexts AS (SELECT turn_id AS qid, c.context FROM turns JOIN (
   SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS context FROM turns
-  GROUP BY conv_id HAVING length(string_agg(line, chr(10) ORDER BY turn)) < 3000) c
+  GROUP BY conv_id) c
   USING (conv_id) WHERE role = 'user')"""
 DOCUMENT_CHUNKS = f"""contents AS (SELECT doc_id AS id,
   regexp_extract(source, '(\\d+)$', 1)::BIGINT AS source_id, text AS content FROM documents),
@@ -225,8 +225,6 @@ chunks AS MATERIALIZED (SELECT id, source_id, v FROM contents
   JOIN content_vectors ON key = id)"""
 ASKED = f"""{embedded('question_vectors', 'questions', 'qid', 'question')},
 asked AS MATERIALIZED (SELECT key AS qid, v FROM question_vectors)"""
-VECTOR_CONTENTS = f"""contents AS (SELECT doc_id AS id, text AS content FROM documents),
-{VECTORS.replace('FROM embeddings),', 'FROM embeddings JOIN contents ON id = vec_id),', 1)}"""
 NUMBERED = """numbered AS MATERIALIZED (SELECT row_number() OVER (
   ORDER BY doc_id, para_no, piece_no) AS id, doc_id AS source_id, content FROM pieces)"""
 
@@ -263,7 +261,7 @@ ORACLES["chunk_table"] = f"""WITH RECURSIVE {DOCS}, {HYBRID}, {NUMBERED}
 SELECT id, 'tickets' AS source_table, source_id, length(content)::INTEGER AS n_chars,
   {fixed.EMBEDDING_DIM}::INTEGER AS dim FROM numbered"""
 
-ORACLES["managed_chunk_table"] = f"""WITH {VECTOR_CONTENTS}
+ORACLES["managed_chunk_table"] = f"""WITH {DOCUMENT_CHUNKS}
 SELECT 'tickets' AS source_table, source_id, count(*) AS n_rows,
   (SELECT count(*) FROM chunks) AS n_analyzed FROM chunks GROUP BY source_id"""
 
@@ -293,7 +291,7 @@ ORACLES["constraint_report"] = f"""WITH {USERS}, {TICKETS}, {MESSAGES}, {VECTORS
     ('max_length', 'body', bad('length(body) > 17')),
     ('unique', 'ticket_id,created_at', 'count(*) - count(DISTINCT (ticket_id, created_at))'),
     ('foreign_key', 'ticket_id',
-     bad("ticket_id NOT IN (SELECT id FROM tickets WHERE status = 'F')")),
+     bad("ticket_id NOT IN (SELECT id FROM tickets)")),
 ])} UNION ALL {checks('chunks', 'chunks', [
     ('not_null', 'id', bad('id IS NULL')),
     ('not_null', 'source_id', bad('source_id IS NULL')),
@@ -317,7 +315,8 @@ SELECT ticket_id AS doc_id, {_CAP['id']} || ticket_id || {_CAP['title']} || tick
 ORACLES["conversation_documents"] = f"WITH {CONVERSATIONS} SELECT doc_id, text FROM docs"
 
 ORACLES["role_transcripts"] = f"""WITH {TURNS}
-SELECT role, string_agg(line, chr(10) ORDER BY turn_id) AS transcript FROM turns GROUP BY role"""
+SELECT role || '-' || (conv_id // 100) AS role_block,
+  string_agg(line, chr(10) ORDER BY turn_id) AS transcript FROM turns GROUP BY ALL"""
 
 ORACLES["paragraphs"] = f"WITH {DOCS}, {PARAS} SELECT doc_id, para_no, paragraph FROM paras"
 
@@ -377,13 +376,16 @@ ORACLES["text_retrieval"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {A
 ORACLES["ann_exact"] = f"""WITH {VECTORS}, {candidates(fixed.TOP_K)}
 SELECT qid, chunk_id, source_id, d, rank FROM hits"""
 
-ORACLES["context_blocks"] = f"""WITH {VECTOR_CONTENTS}, {retrieval(3)},
+ORACLES["context_blocks"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {ASKED},
+{retrieval(3)},
 {contexts(fixed.MODEL_MAX_CONTEXT)} SELECT qid, rank, block FROM blocks"""
 
-ORACLES["context_pack"] = f"""WITH {VECTOR_CONTENTS}, {retrieval()},
+ORACLES["context_pack"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {ASKED},
+{retrieval()},
 {contexts(fixed.MODEL_MAX_CONTEXT)} SELECT qid, context FROM contexts"""
 
-ORACLES["context_pack_wide"] = f"""WITH {VECTOR_CONTENTS}, {retrieval()},
+ORACLES["context_pack_wide"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {ASKED},
+{retrieval()},
 {contexts(WIDE_CONTEXT)} SELECT qid, context FROM contexts"""
 
 _SEP = lit(fixed.CHUNK_SEPARATOR)
@@ -404,10 +406,10 @@ SELECT qid, {REQUEST} AS request FROM routed WHERE prompt IS NOT NULL"""
 _STOPS = "|".join(f"\\Q{s}\\E" for s in [*fixed.STOP_SEQUENCES, "tion"]).replace("\n", "\\E\\n\\Q")
 ORACLES["response_audit"] = f"""WITH {TURNS},
 context_rows AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS context
-  FROM turns WHERE turn < 2 GROUP BY conv_id),
+  FROM turns WHERE role = 'user' GROUP BY conv_id),
 contents AS (SELECT turn_id AS qid, context, {lit(' ' + fixed.ANSWER_CAPTION + ' ')} || text
     || {lit(chr(10) + fixed.QUOTE_CAPTION + ' "')}
-    || replace(replace(substr(text, 5, 20), '"', ''), chr(10), '') || '"' || chr(10) AS content
+    || replace(replace(regexp_extract(text, '^[^.]*[.]?'), '"', ''), chr(10), '') || '"' || chr(10) AS content
   FROM turns JOIN context_rows USING (conv_id) WHERE role = 'assistant'),
 replies AS (SELECT qid, context,
   {strip(f"string_split_regex(content, '{_STOPS}')[1]")} AS reply FROM contents),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +51,13 @@ def table_counts(t: Inputs) -> DataFrame:
 
 @query
 def source_lookup(t: Inputs) -> DataFrame:
-    """Bound parameter and equality filter on the source."""
+    """Bound parameter and equality filter on the source, a column of the chunk table."""
+    path = work_path(t.spark, "lookup")
+    tables.refresh_files(t.vector_chunks(), path)
     return t.spark.sql(
         "SELECT id, source_id FROM {chunks} WHERE source_id = :source",
         args={"source": 3},
-        chunks=t.vector_chunks(),
+        chunks=tables.read_files(t.spark, path),
     )
 
 
@@ -82,11 +85,11 @@ def chunk_table(t: Inputs) -> DataFrame:
 @query
 def managed_chunk_table(t: Inputs) -> DataFrame:
     """Drop, create, refresh, analyze; then the row count the catalog knows."""
-    spark, name = t.spark, "passageworks_chunks"
+    spark, name = t.spark, f"passageworks_chunks_{uuid.uuid4().hex}"
     tables.drop_tables(spark, [name])
     tables.create_if_missing(spark, name, CHUNKS, work_path(spark, name))
     tables.create_if_missing(spark, name, CHUNKS)
-    rows = t.content_chunks().withColumn("source_table", F.lit(fixed.SOURCE_TABLE))
+    rows = _stored_document_chunks(t).withColumn("source_table", F.lit(fixed.SOURCE_TABLE))
     tables.refresh_table(rows, name)
     tables.refresh_table(rows, name)
     tables.analyze(spark, name)
@@ -120,11 +123,10 @@ def constraint_report(t: Inputs) -> DataFrame:
         ("ticket_id", "created_at"), ("body",), {"body": 17}, foreign_keys=("ticket_id",)
     )
     chunk_spec = TableSpec(("id",), ("source_id",), vector_dims={"embedding": 64})
-    answered = tickets.filter("status = 'F'")
     parts = {
         "users": quality.check_table(users, user_spec),
         "tickets": quality.check_table(tickets, ticket_spec, {"user_id": (users, "id")}),
-        "messages": quality.check_table(messages, message_spec, {"ticket_id": (answered, "id")}),
+        "messages": quality.check_table(messages, message_spec, {"ticket_id": (tickets, "id")}),
         "chunks": quality.check_table(t.vector_chunks(), chunk_spec),
     }
     named = [df.select(F.lit(name).alias("role"), "*") for name, df in parts.items()]
@@ -169,10 +171,11 @@ def _conversations(t: Inputs) -> DataFrame:
 
 @query
 def role_transcripts(t: Inputs) -> DataFrame:
-    """Few keys with very many rows each: the segmented form."""
+    """Lines of each role, a hundred conversations at a time: the segmented form."""
+    block = F.concat_ws("-", "role", F.floor(F.col("conv_id") / 100))
     return ordered_concat(
-        t.turns(), key="role", text="line", order=["turn_id"], separator="\n",
-        out="transcript", hot_rows=50,
+        t.turns().withColumn("role_block", block), key="role_block", text="line",
+        order=["turn_id"], separator="\n", out="transcript", hot_rows=50,
     )
 
 
@@ -300,8 +303,11 @@ def two_stage_retrieval(t: Inputs) -> DataFrame:
 def text_retrieval(t: Inputs) -> DataFrame:
     """User turns against whole documents, both embedded from text."""
     chunks = _stored_document_chunks(t)
-    questions = embed(_questions(t), "question").select("qid", "embedding")
-    return _rounded(ranking.retrieve(chunks, questions), "score", "group_score")
+    return _rounded(ranking.retrieve(chunks, _question_vectors(t)), "score", "group_score")
+
+
+def _question_vectors(t: Inputs) -> DataFrame:
+    return embed(_questions(t), "question").select("qid", "embedding")
 
 
 def _stored_document_chunks(t: Inputs) -> DataFrame:
@@ -348,19 +354,21 @@ def ann_recall(t: Inputs) -> DataFrame:
 
 @query
 def context_blocks(t: Inputs) -> DataFrame:
-    chunks = t.content_chunks()
-    hits = ranking.retrieve(chunks, t.vector_questions(), top_k=3)
+    chunks, questions = _stored_document_chunks(t), _question_vectors(t)
+    hits = ranking.retrieve(chunks, questions, top_k=3)
     return packing.group_blocks(ranking.with_content(hits, chunks))
 
 
 @query
 def context_pack(t: Inputs) -> DataFrame:
-    return contexts_for(t.content_chunks(), t.vector_questions())
+    return contexts_for(_stored_document_chunks(t), _question_vectors(t))
 
 
 @query
 def context_pack_wide(t: Inputs) -> DataFrame:
-    return contexts_for(t.content_chunks(), t.vector_questions(), max_context=WIDE_CONTEXT)
+    return contexts_for(
+        _stored_document_chunks(t), _question_vectors(t), max_context=WIDE_CONTEXT
+    )
 
 
 @query
@@ -374,12 +382,11 @@ def sentence_pack(t: Inputs) -> DataFrame:
 
 
 def _prompts(t: Inputs) -> DataFrame:
-    """User turns; the whole conversation is the context, when it is not long."""
+    """User turns; the whole conversation is the context."""
     contexts = (
         t.turns()
         .groupBy("conv_id")
         .agg(packing.joined_in_order("line", "\n", "turn").alias("context"))
-        .filter(F.char_length("context") < 3000)
     )
     keyed = t.user_turns().select("conv_id", F.col("turn_id").alias("qid"))
     return prompts.with_prompts(
@@ -400,7 +407,7 @@ def chat_requests(t: Inputs) -> DataFrame:
 @query
 def response_audit(t: Inputs) -> DataFrame:
     """Assistant turns as model replies, the conversation's user turns as context."""
-    quote = F.substring("text", 5, 20)
+    quote = F.regexp_extract("text", r"^[^.]*[.]?", 0)  # up to the first full stop
     content = F.concat(
         F.lit(" " + fixed.ANSWER_CAPTION + " "),
         F.col("text"),
@@ -410,8 +417,7 @@ def response_audit(t: Inputs) -> DataFrame:
     )
     raw = F.to_json(F.struct(F.struct(content.alias("content")).alias("message")))
     contexts = (
-        t.turns()
-        .filter("turn < 2")
+        t.user_turns()
         .groupBy("conv_id")
         .agg(packing.joined_in_order("text", "\n", "turn").alias("context"))
     )

@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 from passageworks.functions import fixed
 from passageworks.operators.nearest import matrix, nearest
 
-# Rows per list that centres are fitted on.  More does not move them noticeably;
-# every row is assigned to a cell whatever the centres are.
-FIT_ROWS_PER_LIST = 256
-
-
 def fit_centres(
-    chunks: DataFrame, lists: int = fixed.INDEX_LISTS, vector: str = "embedding", seed: int = 1
+    chunks: DataFrame,
+    lists: int = fixed.INDEX_LISTS,
+    vector: str = "embedding",
+    seed: int = 1,
+    fit_rows: int | None = None,
 ) -> np.ndarray:
-    """At most `lists` centres (lists × dim) by distributed k-means."""
+    """At most `lists` centres (lists × dim) by distributed k-means.
+
+    All rows count, or a random sample of about `fit_rows` of them if that is given;
+    every row is assigned to a cell in either case.
+    """
     rows = chunks.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    total = rows.count()
-    share = lists * FIT_ROWS_PER_LIST / max(total, 1)
-    if share < 1:
-        rows = rows.sample(share, seed=seed)
+    if fit_rows is not None and (total := rows.count()) > fit_rows:
+        rows = rows.sample(fit_rows / total, seed=seed)
     model = KMeans(k=lists, seed=seed, maxIter=10, initMode="k-means||").fit(rows)
     return np.array(model.clusterCenters())
 

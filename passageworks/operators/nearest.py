@@ -77,7 +77,11 @@ class Questions:
 
 def gather(questions: DataFrame, max_questions: int = MAX_QUESTIONS) -> Questions:
     """Read (qid, embedding); at most `max_questions` + 1 rows reach the driver."""
-    frame = questions.select(F.col("qid").cast("long"), F.col("embedding"))
+    # A repeated qid is one question: that of the smallest vector.
+    frame = (
+        questions.select(F.col("qid").cast("long"), F.col("embedding"))
+        .groupBy("qid").agg(F.min("embedding").alias("embedding"))
+    )
     rows = frame.limit(max_questions + 1).toArrow()
     if rows.num_rows <= max_questions:
         vectors = matrix(rows["embedding"]).astype(np.float64)
@@ -223,6 +227,7 @@ def nearest(
     `seed_fraction` first searches a random part of the chunks.  The k-th
     distance found there cannot be below the true one, so it bounds what tasks
     of the full pass emit: exact all the same, and worth it for very many tasks.
+    It has no effect with routes or on question tables too large to be gathered.
     """
     if routes is not None and group is None:
         raise ValueError("routes need a group column")

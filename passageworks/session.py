@@ -88,4 +88,13 @@ def remove_work(spark: SparkSession, path: str) -> None:
 
 
 def _work_tables(spark: SparkSession) -> str:
-    return f"{work_root(spark)}/passageworks"
+    """This session's folder of work tables, removed when its driver ends."""
+    context = spark.sparkContext
+    folder = f"{work_root(spark)}/passageworks/{context.applicationId}"
+    if getattr(context, "_passageworks_folder", None) != folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._passageworks_folder = folder
+    return folder

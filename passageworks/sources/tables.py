@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from typing import Any
 
@@ -95,7 +96,16 @@ def drop_tables(spark: SparkSession, names: Sequence[str]) -> None:
 
 
 def refresh_files(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Replace the files at `path`; the old ones stay until the new ones are complete."""
+    jvm = df.sparkSession._jvm
+    new = path.rstrip("/") + f"-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    old_path, new_path = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
+    files = old_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    files.delete(old_path, True)
+    if not files.rename(new_path, old_path):
+        raise OSError(f"could not move {new} to {path}")
+    df.sparkSession.catalog.refreshByPath(path)
 
 
 def refresh_table(df: DataFrame, name: str) -> None:

@@ -93,33 +93,36 @@ def test_token_counters(spark):
     assert value(spark, words.count_each(F.col("t")), t=["a b", "", "c"]) == [2, 0, 1]
 
 
-def brute_chunks(counts, max_tokens):
-    """The packing rule on lists of sentence numbers."""
-    overlap = chunking.overlap_sentences(max_tokens)
-    out, current = [], []
-    size = lambda items: sum(counts[i] for i in items)
-    used = 0
-    for i, n in enumerate(counts):
-        if n > max_tokens:
-            out += [current] * bool(current) + [[i]]
-            current, used = [], 0
-        elif used + n <= max_tokens:
-            current, used = [*current, i], used + n
-        else:
-            out.append(current)
-            current = [*current[-overlap:], i]
-            used = size(current)
-    return out + [current] * bool(current)
-
-
 @given(st.lists(st.integers(0, 30), max_size=80), st.integers(1, 120))
 @settings(max_examples=300, deadline=None)
-def test_sentence_windows_follow_the_rule(counts, max_tokens):
-    starts, sizes = chunking.sentence_windows(
-        counts, max_tokens, chunking.overlap_sentences(max_tokens)
-    )
-    got = [list(range(s - 1, s - 1 + n)) for s, n in zip(starts, sizes)]
-    assert got == brute_chunks(counts, max_tokens)
+def test_sentence_windows_have_the_properties_of_the_rule(counts, max_tokens):
+    overlap = chunking.overlap_sentences(max_tokens)
+    starts, sizes = chunking.sentence_windows(counts, max_tokens, overlap)
+    ranges = [(s - 1, s - 1 + n) for s, n in zip(starts, sizes)]
+    assert_windows(ranges, counts, max_tokens, overlap)
+
+
+def assert_windows(ranges, counts, max_tokens, overlap):
+    """What ranges of sentences must fulfil, each stated on its own."""
+    long = [n > max_tokens for n in counts]
+    # Every sentence is covered, ranges go forward and leave no gap.
+    assert {i for a, b in ranges for i in range(a, b)} == set(range(len(counts)))
+    assert all(a < b for a, b in ranges)
+    assert all(x[1] < y[1] and y[0] <= x[1] for x, y in zip(ranges, ranges[1:]))
+    for k, (a, b) in enumerate(ranges):
+        # A sentence over the limit stands alone, and none is repeated across it.
+        assert not any(long[a:b]) or b - a == 1
+        before = ranges[k - 1] if k else (0, 0)
+        if long[a] or (k and long[before[0]]):
+            assert a == before[1]
+            continue
+        # Otherwise the last `overlap` sentences of the range before are repeated.
+        assert a == max(before[0], before[1] - overlap)
+        # What a range adds after its first new sentence fits; one more would not.
+        if b - before[1] > 1:
+            assert sum(counts[a:b]) <= max_tokens
+        if b < len(counts) and not long[b]:
+            assert sum(counts[a : b + 1]) > max_tokens
 
 
 def test_window_cases():
@@ -151,15 +154,17 @@ def test_short_paragraph_keeps_its_line_breaks(spark):
 
 
 def test_long_paragraph_crosses_slabs(spark):
-    """More chunks than one slab holds, compared with the plain rule."""
+    """More chunks than one slab holds: two sentences fit, all of them are repeated."""
     sentences = [f"w{i} a b c." for i in range(3 * chunking.SLAB)]
-    counts = [5] * len(sentences)
-    expected = [
-        "[Általános] " + " ".join(sentences[i] for i in piece)
-        for piece in brute_chunks(counts, 12)
-    ]
-    assert len(expected) > 2 * chunking.SLAB
-    assert chunks(spark, "\n".join(sentences), max_tokens=12) == expected
+    got = chunks(spark, "\n".join(sentences), max_tokens=12)
+    assert len(got) > 2 * chunking.SLAB
+    ranges = []
+    for body in got:
+        words = body.removeprefix("[Általános] ").split()
+        first, n = int(words[0][1:]), len(words) // 4
+        assert " ".join(sentences[first : first + n]) == " ".join(words)
+        ranges.append((first, first + n))
+    assert_windows(ranges, [5] * len(sentences), 12, chunking.overlap_sentences(12))
 
 
 def test_keyword_with_a_space_can_appear_by_collapsing(spark):
