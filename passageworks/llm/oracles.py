@@ -1,5 +1,21 @@
-"""SQL counterparts of the registered queries, where SQL can express them."""
+"""SQL counterparts of the registered queries, where SQL can express them.
+
+The others rest on 64-bit hashes, alignment, tiling, tokenizers, fitted models or
+hundreds of Java regexes; `tests/llm` holds them against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # Base32 of SHA-1: ten hex digits are eight letters.
+    "op10_warc_packages": """WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+firsts AS (SELECT s, min(page_id) AS first_id FROM payloads GROUP BY s)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(s, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31) + 1)::INT, 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM payloads JOIN firsts USING (s)""",
+}
