@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,6 +226,35 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_data(batch: pa.RecordBatch, data: list[bytes]) -> pa.RecordBatch:
+    at = batch.schema.get_field_index("data")
+    return batch.set_column(at, "data", pa.array(data, pa.binary()))
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in slices(batches, "data", 4 * SEGMENT):
+        yield _with_data(batch, [packer.compress(x.as_py()) for x in batch.column("data")])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about `SEGMENT` bytes of text, one row at least."""
+    opener = zstandard.ZstdDecompressor()
+    for batch in batches:
+        held, size, begin = [], 0, 0
+        for i, x in enumerate(batch.column("data")):
+            held.append(opener.decompress(x.as_buffer()))
+            size += len(held[-1])
+            if size >= SEGMENT or i + 1 == batch.num_rows:
+                yield _with_data(batch.slice(begin, len(held)), held)
+                held, size, begin = [], 0, i + 1
+
+
+def compressed(own: DataFrame) -> DataFrame:
+    """`own` with compressed bytes, to be shuffled to their ranges."""
+    return own.mapInArrow(_compressed, "doc_id long, tie long, data binary")
+
+
 def later(keys: list[str]) -> Column:
     """Whether a row's (doc_id, place) comes after the first of its `keys`."""
     head = F.first(F.struct("doc_id", "place")).over(Window.partitionBy(*keys).orderBy("doc_id", "place"))
@@ -271,7 +301,7 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "data", SEGMENT):
+    for batch in slices(_unpacked(batches), "data", SEGMENT):
         rank, tie = document_order(batch)
         wanted = batch.column("ranges")
         counts = wanted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -305,7 +335,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def window_repeats(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
     """(doc_id, tie, low, more): ranges of single windows that repeat earlier ones; stored."""
-    rows = with_ranges(docs, open_runs, "inner").select("doc_id", "tie", "data", "ranges").mapInArrow(_windows, RUNS)
+    rows = with_ranges(compressed(docs), open_runs, "inner").select("doc_id", "tie", "data", "ranges").mapInArrow(_windows, RUNS)
     marked = rows.repartition("bucket").withColumn("again", later(["bucket", "context"]))
     length = F.when(F.col("kind") == 1, F.col("more")).otherwise(F.lit(LEAST))
     return stored(
@@ -321,7 +351,7 @@ KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 
 def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "data", 4 * SEGMENT):
+        for batch in _unpacked(batches):
             out = []
             for doc, data, ranges in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "data", "ranges"))):
                 removed, spans, kept = 0, 0, data
@@ -355,6 +385,6 @@ def deduplicate(
     repeats = found.where("kind = 1").select("doc_id", "tie", "low", "more").unionByName(
         window_repeats(own, found.where("kind = 2")).select("doc_id", "tie", "low", F.col("more").cast("int").alias("more"))
     )
-    return with_ranges(own, repeats, "left").select("doc_id", "data", "ranges").mapInArrow(
+    return with_ranges(compressed(own), repeats, "left").select("doc_id", "data", "ranges").mapInArrow(
         _cut(with_text), KEPT + (", kept binary" if with_text else "")
     )
