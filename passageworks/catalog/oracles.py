@@ -7,7 +7,7 @@ text rule is stated once.
 from __future__ import annotations
 
 from passageworks.catalog.inputs import CHUNK_TOKENS, TOPICS
-from passageworks.catalog.queries import PIPELINE_CONTEXT, WIDE_CONTEXT
+from passageworks.catalog.queries import ANN_PROBES, PIPELINE_CONTEXT, WIDE_CONTEXT
 from passageworks.functions import fixed
 from passageworks.functions.text import WS_CLASS
 from passageworks.functions.tokens import TOKEN_PATTERN
@@ -376,6 +376,25 @@ ORACLES["text_retrieval"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {A
 ORACLES["ann_exact"] = f"""WITH {VECTORS}, {candidates(fixed.TOP_K)}
 SELECT qid, chunk_id, source_id, d, rank FROM hits"""
 
+ORACLES["two_stage_ann"] = ORACLES["two_stage_retrieval"]
+
+PROBED = f"""centres AS (SELECT row_number() OVER (ORDER BY label) AS cell, c FROM (
+  SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS c FROM embeddings GROUP BY label)),
+near_cells AS MATERIALIZED (SELECT qid, cell, row_number() OVER (
+    PARTITION BY qid ORDER BY list_distance(v, c), cell) AS near FROM asked, centres),
+few AS (SELECT qid, chunk_id, source_id, d, row_number() OVER (
+    PARTITION BY qid ORDER BY d, chunk_id)::INTEGER AS rank FROM (
+  SELECT a.qid, c.id AS chunk_id, c.source_id, round(list_distance(a.v, c.v), 9) AS d
+  FROM near_cells p JOIN near_cells own ON own.cell = p.cell AND own.near = 1
+  JOIN asked a ON a.qid = p.qid JOIN chunks c ON c.id = own.qid WHERE p.near <= {ANN_PROBES})
+  QUALIFY rank <= {fixed.TOP_K})"""
+ORACLES["ann_few_probes"] = f"""WITH {VECTORS}, {PROBED}
+SELECT qid, chunk_id, source_id, d, rank FROM few"""
+
+ORACLES["ann_recall"] = f"""WITH {VECTORS}, {candidates(fixed.TOP_K)}, {PROBED}
+SELECT hits.qid, count(few.qid) / count(*) AS recall FROM hits
+LEFT JOIN few ON few.qid = hits.qid AND few.chunk_id = hits.chunk_id GROUP BY hits.qid"""
+
 ORACLES["context_blocks"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {ASKED},
 {retrieval(3)},
 {contexts(fixed.MODEL_MAX_CONTEXT)} SELECT qid, rank, block FROM blocks"""

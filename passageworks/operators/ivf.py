@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageworks.functions import fixed
-from passageworks.operators.nearest import matrix, nearest
+from passageworks.operators.nearest import Questions, matrix, nearest
 
 def fit_centres(
     chunks: DataFrame,
@@ -72,13 +73,21 @@ def write_index(
     placed.write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
+@dataclass(frozen=True)
+class Lists:
+    """Centres of the inverted lists, and how many of them a search looks into."""
+
+    centres: np.ndarray
+    probes: int
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
 def ann_topk(
     indexed: DataFrame,
-    questions: DataFrame,
+    questions: DataFrame | Questions,
     centres: np.ndarray,
     nprobe: int,
     k: int = fixed.CANDIDATE_K,
@@ -89,7 +98,8 @@ def ann_topk(
     With as many probes as cells the result equals the exact search.
     """
     # The outer form spares an inferred size filter, hence a second UDF call.
-    probed = questions.select(
+    asked = questions.frame if isinstance(questions, Questions) else questions
+    probed = asked.select(
         "qid", F.explode_outer(nearest_cells(centres, nprobe)(F.col("embedding"))).alias("cell")
     )
     return nearest(

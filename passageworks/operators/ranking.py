@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from passageworks.functions import fixed
 from passageworks.functions.vectors import TIE_DECIMALS, score
+from passageworks.operators.ivf import Lists, ann_topk
 from passageworks.operators.nearest import MAX_QUESTIONS, Questions, gather, nearest
 
 
@@ -15,13 +16,18 @@ def candidates(
     chunks: DataFrame,
     questions: DataFrame | Questions,
     candidate_k: int = fixed.CANDIDATE_K,
+    index: Lists | None = None,
     **search,
 ) -> DataFrame:
     """(qid, chunk_id, source_id, d, score, rank): nearest chunks of any source.
 
-    A chunk without a source takes its place among the nearest.
+    A chunk without a source takes its place among the nearest.  With an `index`,
+    `chunks` are those that `ivf.read_index` gives, and only the nearest lists are read.
     """
-    hits = nearest(chunks, questions, candidate_k, carry="source_id", **search)
+    if index is None:
+        hits = nearest(chunks, questions, candidate_k, carry="source_id", **search)
+    else:
+        hits = ann_topk(chunks, questions, index.centres, index.probes, candidate_k, **search)
     return hits.select(
         "qid", "chunk_id", "source_id", "d", score(F.col("d")).alias("score"), "rank"
     )
@@ -84,11 +90,12 @@ def retrieve(
     groups: int = fixed.TOP_GROUPS,
     top_k: int = fixed.TOP_K,
     max_questions: int = MAX_QUESTIONS,
+    index: Lists | None = None,
     **search,
 ) -> DataFrame:
     """Both stages.  The first runs when this is called, because its winners
     route the second; only the winners come back to the driver, and only when
     the question table is within the broadcast bound."""
     asked = gather(questions, max_questions)
-    best = top_groups(candidates(chunks, asked, candidate_k, **search), groups)
+    best = top_groups(candidates(chunks, asked, candidate_k, index, **search), groups)
     return group_chunks(chunks, asked, best, top_k, **search)
