@@ -43,11 +43,11 @@ def paragraph_list(x: str) -> str:
     return f"list_filter(list_transform({parts}, lambda p: {strip('p')}), lambda p: p <> '')"
 
 
-def label(x: str) -> str:
+def label(x: str, topics=TOPICS) -> str:
     cases = " ".join(
         f"WHEN {' OR '.join(f'contains(lower({x}), {lit(w)})' for w in words)} "
         f"THEN {lit(f'[{topic}]')}"
-        for topic, words in TOPICS.items()
+        for topic, words in topics.items()
     )
     return f"CASE {cases} ELSE {lit(fixed.DEFAULT_LABEL)} END"
 
@@ -114,20 +114,25 @@ windows AS (
   FROM ranges r JOIN counted c USING (key))"""
 
 
-HYBRID = f"""{PARAS},
-sized AS (SELECT *, {label('paragraph')} AS label, {n_tokens('paragraph')} AS n FROM paras),
+def hybrid(topics, max_tokens: int) -> str:
+    """`pieces`: the labelled chunks of `docs`."""
+    return f"""{PARAS},
+sized AS (SELECT *, {label('paragraph', topics)} AS label, {n_tokens('paragraph')} AS n FROM paras),
 split AS (SELECT {{doc_id: doc_id, para_no: para_no}} AS key,
   {sentence_list('paragraph')} AS ss FROM sized
-  WHERE label = {lit(fixed.DEFAULT_LABEL)} AND n > {CHUNK_TOKENS}),
-{windows(CHUNK_TOKENS)},
+  WHERE label = {lit(fixed.DEFAULT_LABEL)} AND n > {max_tokens}),
+{windows(max_tokens)},
 pieces AS (
   SELECT doc_id, para_no, 1 AS piece_no, label, label || ' ' || paragraph AS content
-  FROM sized WHERE NOT (label = {lit(fixed.DEFAULT_LABEL)} AND n > {CHUNK_TOKENS})
+  FROM sized WHERE NOT (label = {lit(fixed.DEFAULT_LABEL)} AND n > {max_tokens})
   UNION ALL
   SELECT key.doc_id, key.para_no, piece_no, {lit(fixed.DEFAULT_LABEL)},
     {lit(fixed.DEFAULT_LABEL)} || ' ' || body FROM windows)"""
 
 
+HYBRID = hybrid(TOPICS, CHUNK_TOKENS)
+
+
 def embedded(name: str, source: str, key: str, text: str) -> str:
     """`name` (key, v): hashed unit vectors of a table's text as DOUBLE[]."""
     dim = fixed.EMBEDDING_DIM
@@ -304,13 +309,13 @@ SELECT ticket_id, user_name, {TS.format('created_at')} AS created,
   coalesce({TS.format('closed_at')}, 'None') AS closed, conversation FROM ticket_rows"""
 
 _CAP = {name: lit(caption) for name, caption in fixed.TICKET_CAPTIONS.items()}
-ORACLES["document_assembly"] = f"""WITH {TICKET_ROWS}
-SELECT ticket_id AS doc_id, {_CAP['id']} || ticket_id || {_CAP['title']} || ticket_title
+TICKET_TEXT = f"""SELECT ticket_id AS doc_id, {_CAP['id']} || ticket_id || {_CAP['title']} || ticket_title
   || {_CAP['user']} || user_name || ' (' || user_email || ')' || {_CAP['status']} || status
   || {_CAP['priority']} || priority || {_CAP['category']} || category
   || {_CAP['created']} || {TS.format('created_at')}
   || {_CAP['closed']} || coalesce({TS.format('closed_at')}, 'None')
   || {_CAP['conversation']} || coalesce(conversation, '') AS text FROM ticket_rows"""
+ORACLES["document_assembly"] = f"WITH {TICKET_ROWS} {TICKET_TEXT}"
 
 ORACLES["conversation_documents"] = f"WITH {CONVERSATIONS} SELECT doc_id, text FROM docs"
 
@@ -447,12 +452,22 @@ SELECT qid, reply, answer, quote, len({sentence_list('answer')}) AS n_sentences,
   coalesce(contains(context, quote), false) AS quote_found,
   answer = {lit(fixed.DECLINED_REPLY)} AS declined FROM parsed"""
 
-ORACLES["answer_pipeline"] = f"""WITH RECURSIVE {CONVERSATIONS}, {QUESTIONS}, {HYBRID}, {NUMBERED},
-contents AS (SELECT id, content FROM numbered),
+
+
+def answered(max_context: int) -> str:
+    """From `pieces` and `questions` to contexts, replies and requests."""
+    return f"""{NUMBERED}, contents AS (SELECT id, content FROM numbered),
 {embedded('content_vectors', 'numbered', 'id', 'content')},
 chunks AS MATERIALIZED (SELECT id, source_id, v FROM numbered JOIN content_vectors ON key = id),
-{ASKED}, {retrieval()}, {contexts(PIPELINE_CONTEXT)}, {ROUTED}
+{ASKED}, {retrieval()}, {contexts(max_context)}, {ROUTED}
 SELECT qid, context, reply, CASE WHEN prompt IS NOT NULL THEN {REQUEST} END AS request FROM routed"""
 
+
+ORACLES["answer_pipeline"] = f"""WITH RECURSIVE {CONVERSATIONS}, {QUESTIONS}, {HYBRID},
+{answered(PIPELINE_CONTEXT)}"""
+
+ORACLES["ticket_answers"] = f"""WITH RECURSIVE {TICKET_ROWS}, docs AS ({TICKET_TEXT}), {TURNS},
+{QUESTIONS}, {hybrid(fixed.TOPICS, fixed.MAX_TOKENS)}, {answered(PIPELINE_CONTEXT)}"""
+
 ORACLES["question_stream_answers"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {ASKED},
 {retrieval()}, {contexts(WIDE_CONTEXT)}, {ROUTED} SELECT qid, prompt, reply FROM routed"""

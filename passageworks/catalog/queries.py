@@ -473,6 +473,17 @@ def answer_pipeline(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def ticket_answers(t: Inputs) -> DataFrame:
+    """The three ticket tables to answers, with the default topics and limits."""
+    chunks = build_index(
+        documents.ticket_documents(*_ticket_tables(t)), work_path(t.spark, "tickets")
+    )
+    return answer_table(
+        tables.spread(chunks), _questions(t), max_context=PIPELINE_CONTEXT
+    ).select("qid", "context", "reply", "request")
+
+
 @query
 def question_stream_answers(t: Inputs) -> DataFrame:
     """User turns arriving as JSON files, asked against whole documents."""

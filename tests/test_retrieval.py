@@ -8,6 +8,7 @@ from passageworks.functions import fixed
 from passageworks.functions.tokens import REGEX_COUNTER, batch_counter
 from passageworks.operators import ivf, packing, prompts, ranking, replies
 from passageworks.operators.embedding import embed, hashed_words
+from passageworks.plans.index import build_index
 from passageworks.operators.nearest import NearestRows, gather, nearest
 from passageworks.session import work_path
 
@@ -327,3 +328,12 @@ def test_audit(spark):
     assert [got[i].quote_found for i in (1, 2, 3, 4)] == [True, False, False, False]
     assert [got[i].length_ok for i in (1, 2, 3, 4)] == [True, False, False, False]
     assert [got[i].declined for i in (1, 2, 3, 4)] == [False, False, True, False]
+
+
+def test_indexing_refreshes_the_statistics_of_its_table(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "egy\n\nkettő"), (2, "három")], "doc_id long, text string")
+    for n, rows in ((2, docs.limit(1)), (3, docs)):
+        build_index(rows, str(tmp_path / "chunks"), table="index_statistics")
+        known = spark.sql("DESCRIBE TABLE EXTENDED index_statistics").filter("col_name = 'Statistics'").first()
+        assert f"{n} rows" in known.data_type
+    spark.sql("DROP TABLE index_statistics")
