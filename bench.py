@@ -32,6 +32,8 @@ HEADLINES = [
     "two_stage_retrieval",
     "text_retrieval",
     "ann_exact",
+    "ann_few_probes",
+    "two_stage_ann",
     "context_pack",
     "chat_requests",
     "response_audit",

@@ -168,3 +168,19 @@ def test_work_paths(spark):
         spark.read.parquet(path)
     with pytest.raises(ValueError):
         remove_work(spark, "/elsewhere")
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "int"])
+def test_hot_keys_keep_any_order(spark, kind):
+    """Segments follow all order columns, also when most rows share the first."""
+    first = {"string": "'b'", "date": "date'2024-01-02'", "timestamp": "timestamp'2024-01-02 03:04:05.5'", "int": "7"}[kind]
+    other = {"string": "'a'", "date": "date'2024-01-01'", "timestamp": "timestamp'2024-01-02 03:04:05.4'", "int": "6"}[kind]
+    rows = spark.range(60).selectExpr(
+        "id % 2 AS key", f"CASE WHEN id < 5 THEN {other} ELSE {first} END AS at", "id AS no", "concat('t', id) AS text"
+    )
+    found = [
+        {r.key: r.out for r in ordered_concat(rows, key="key", text="text", order=["at", "no"], separator=" ", out="out", hot_rows=n).collect()}
+        for n in (1000, 7)
+    ]
+    assert found[0] == found[1]
+    assert found[0][0].split() == [f"t{i}" for i in range(0, 60, 2)]

@@ -337,3 +337,17 @@ def test_indexing_refreshes_the_statistics_of_its_table(spark, tmp_path):
         known = spark.sql("DESCRIBE TABLE EXTENDED index_statistics").filter("col_name = 'Statistics'").first()
         assert f"{n} rows" in known.data_type
     spark.sql("DROP TABLE index_statistics")
+
+
+def test_repeated_question_ids_are_one_question_both_ways(spark):
+    chunks = spark.createDataFrame(
+        [(i, [float(i), 0.0]) for i in range(8)], "id long, embedding array<float>"
+    )
+    asked = spark.createDataFrame(
+        [(1, [6.0, 0.0]), (1, [0.0, 0.0]), (2, [3.0, 0.0])], "qid long, embedding array<float>"
+    )
+    ways = [
+        sorted((r.qid, r.rank, r.chunk_id) for r in nearest(chunks, asked, 3, max_questions=n).collect())
+        for n in (100, 0)
+    ]
+    assert ways[0] == ways[1] == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 1, 3), (2, 2, 2), (2, 3, 4)]
