@@ -104,6 +104,14 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), let(text, located)).otherwise(none)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with more underscores where the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def picked(docs: DataFrame, **columns: str) -> DataFrame:
     """The named columns only, under new names: others may have any name."""
     return docs.select(*(docs[old].alias(new) for new, old in columns.items()))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passageworks.llm.batches import mixed, ragged, slices
-from passageworks.llm.columns import picked, whole
+from passageworks.llm.columns import fresh, picked, whole
 from passageworks.session import ship_package, stored
 
 SEED = 5
@@ -257,5 +257,6 @@ def without_leaks(
     key = F.xxhash64(F.md5(F.encode(whole(docs[text_col]), "utf-8")), whole(docs[text_col]))
     own = docs.select(F.monotonically_increasing_id().alias("row"), key.alias("doc_id"), whole(docs[text_col]).alias("text"))
     found = pairs(own, picked(items, item_id=item_id_col, text=item_text_col), coverage)
-    bad = stored(found.select(F.col("doc_id").alias("_leak_key")).distinct(), "leaks")
-    return docs.join(bad, key == F.col("_leak_key"), "left_anti")
+    leak_key = fresh(docs, "_leak_key")
+    bad = stored(found.select(F.col("doc_id").alias(leak_key)).distinct(), "leaks")
+    return docs.join(bad, key == F.col(leak_key), "left_anti")

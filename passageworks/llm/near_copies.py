@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passageworks.llm.batches import mixed, ragged, slices
-from passageworks.llm.columns import picked, whole
+from passageworks.llm.columns import fresh, picked, whole
 from passageworks.llm.components import components
 from passageworks.llm.suffixes import joined
 from passageworks.session import ship_package, stored
@@ -274,9 +274,11 @@ def one_of_each(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str
     # Where a class has no id at all, its smallest node stays.
     first = found.groupBy("root").agg(
         F.min(F.struct(F.col("rep_id").isNull().alias("no_id"), "rep_id", "node", "text_key")).alias("f")
-    ).select(F.col("f.text_key").alias("_keep_key"), F.col("f.rep_id").alias("_keep_id"))
+    ).select("f.text_key", "f.rep_id")
+    own_key, keep_key, keep_id = (fresh(docs, c) for c in ("_own_key", "_keep_key", "_keep_id"))
+    first = first.toDF(keep_key, keep_id)
     key = F.md5(F.encode(whole(docs[text_col]), "utf-8"))
-    rows = docs.withColumn("_text_key", key).join(
-        first, (F.col("_text_key") == F.col("_keep_key")) & docs[id_col].cast("long").eqNullSafe(F.col("_keep_id"))
+    rows = docs.withColumn(own_key, key).join(
+        first, (F.col(own_key) == F.col(keep_key)) & docs[id_col].cast("long").eqNullSafe(F.col(keep_id))
     )
-    return rows.dropDuplicates(["_text_key"]).select(*docs.columns)
+    return rows.dropDuplicates([own_key]).select(*docs.columns)

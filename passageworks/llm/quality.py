@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passageworks.llm.columns import indices, let, picked, whole
+from passageworks.llm.columns import fresh, indices, let, picked, whole
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -214,5 +214,6 @@ def judge(
 def kept_only(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that `judge` keeps: judged where they lie."""
     whole_row = F.struct(*(docs[c] for c in docs.columns))
-    judged = judge(docs.withColumn("_row", whole_row), trusted, id_col=id_col, text_col=text_col, carry="_row")
-    return judged.where("kept").select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+    row = fresh(docs, "_row")
+    judged = judge(docs.withColumn(row, whole_row), trusted, id_col=id_col, text_col=text_col, carry=row)
+    return judged.where("kept").select(*(F.col(row).getField(c).alias(c) for c in docs.columns))

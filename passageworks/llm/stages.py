@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageworks.llm import leaks, near_copies, packing, quality, secrets
-from passageworks.llm.columns import whole
+from passageworks.llm.columns import fresh, whole
 from passageworks.sources.tables import read_files
 
 
@@ -32,18 +32,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 def secret_redaction(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts without the spans of the secret scan; `n_chars`, where present, follows."""
     # Equal rows have equal spans: one entry for each (id, text).
+    key_name, spans_name = fresh(docs, "_key"), fresh(docs, "_spans")
     found = secrets.scan(docs).where(F.size("spans") > 0).select(
-        F.col("text_key").alias("_key"), F.col("spans").alias("_spans")
-    ).dropDuplicates(["_key"])
+        F.col("text_key").alias(key_name), F.col("spans").alias(spans_name)
+    ).dropDuplicates([key_name])
     key = F.xxhash64(docs["doc_id"], docs["text"])
-    joined = docs.join(found, key == F.col("_key"), "left")
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(
-        secrets.redacted(whole(docs["text"]), F.col("_spans"))
+    joined = docs.join(found, key == F.col(key_name), "left")
+    text = F.when(F.col(spans_name).isNull(), docs["text"]).otherwise(
+        secrets.redacted(whole(docs["text"]), F.col(spans_name))
     )
     changed = {"text": text}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("_spans").isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(kind)
+        changed["n_chars"] = F.when(F.col(spans_name).isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(kind)
     return joined.select(*(changed.get(c, docs[c]).alias(c) for c in docs.columns))
 
 

@@ -90,14 +90,19 @@ def test_pipeline_rows(spark, tmp_path):
 
 
 def test_stages_keep_other_columns_and_take_no_rows(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "a b c", 1, "x")], "doc_id long, text string, node int, _key string")
+    schema = "doc_id long, text string, node int, _key string, _own_key int, _leak_key int, _row int, _spans int, source string"
+    docs = spark.createDataFrame([(1, "a b c token=abcdef1", 1, "x", 2, 3, 4, 5, "s")], schema)
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int")
     items = spark.createDataFrame([], "item_id long, text string")
     assert quality.kept_only(docs, quality.trusted_ids(labels)).columns == docs.columns
+    long = docs.withColumn("text", F.lit(" ".join(f"word{i}" for i in range(40))))
+    assert quality.kept_only(long, quality.trusted_ids(labels)).collect() == long.collect()
+    redacted = stages.secret_redaction(spark, docs, "").first()
+    assert redacted.text == "a b c [SECRET]" and redacted[2:] == docs.first()[2:]
     assert near_copies.one_of_each(docs).collect() == docs.collect()
     assert leaks.without_leaks(docs, items).collect() == docs.collect()
     assert near_copies.one_of_each(none).count() == leaks.without_leaks(none, items).count() == 0
     path = stages.public_tokenizers.path("word_bpe_49k.json")
     assert packing.pack(none, path).count() == 0
-    assert secrets.scan(none.withColumn("source", F.lit("s"))).count() == 0
+    assert secrets.scan(none).count() == 0
