@@ -30,6 +30,8 @@ MAX_REPEATED = 30
 BUCKETS = 1 << 16
 #: Added to a bucket's trusted count and to the count its corpus share predicts.
 SMOOTHING = 10.0
+#: Weights are kept in such parts of one.
+UNITS = 1000
 #: Mean log ratio below which a document is unlike the trusted ones.
 THRESHOLD = -0.15
 #: Most rows that the trusted multinomial is fitted on, about; their ids are broadcast.
@@ -174,9 +176,11 @@ def judge(
     own = picked(docs, doc_id=id_col, text=text_col)
     more = [] if carry is None else [carry]
     rows_of = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), *more)
-    fitted = weights(own, trusted, buckets).select(F.concat_ws(",", F.col("weights").cast("array<string>")))
-    # Folded to one array constant; subqueries can't stand inside lambdas.
-    model = F.split(F.lit(fitted.first()[0]), ",").cast("array<double>")
+    # Folded to one array constant; subqueries can't stand inside lambdas.  Plans print
+    # it, so it holds short integers.
+    units = F.transform("weights", lambda w: F.round(w * UNITS).cast("int"))
+    fitted = weights(own, trusted, buckets).select(F.concat_ws(",", units.cast("array<string>")))
+    model = F.split(F.lit(fitted.first()[0]), ",").cast("array<int>")
     text = whole(F.col("text"))
     hashes = word_hashes(F.col("text"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -187,8 +191,8 @@ def judge(
             window_keys(h).alias("windows"),
             let(
                 features(h, buckets),
-                lambda f: F.aggregate(f, F.lit(0.0), lambda s, b: s + model[b])
-                / F.greatest(F.size(f), F.lit(1)),
+                lambda f: F.aggregate(f, F.lit(0).cast("long"), lambda s, b: s + model[b])
+                / (F.greatest(F.size(f), F.lit(1)) * UNITS),
             ).alias("ratio"),
         ),
     )
