@@ -13,9 +13,11 @@ longest chain of common ones that grows in both texts, among those whose places
 by no more than the unmatched ones a link may have (the band).  Classes are the
 connected components of the links; equal texts are one node from the start.
 
-Comparing with the bucket's first and last keeps the work in proportion to the texts,
-however many are alike.  A class is found when its links run through such pairs; README
-has the recall measured against all pairs.
+Comparing with the bucket's first and last finds most classes with work in proportion to
+the texts.  What it leaves apart is then settled exactly: shingles have one order, rare
+ones first, and two texts that are linked share one of the first n - ceil(0.8 n) + 1 of
+theirs.  All pairs of different classes that meet in such a shingle are aligned, but for
+those whose lengths or places there leave too few to match; no bucket is cut.
 
 Defined cases: texts under five words are one shingle; null and empty texts are equal
 texts without a word, and one class; case and punctuation do not count, equal texts
@@ -45,6 +47,11 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 16, 2
 RUNS = (1, 2, 4, 6)
 WORK_BYTES = 1 << 20
+#: One text in `COUNTED` is counted for the order of the shingles, in slots of hashes.  The
+#: order decides how many pairs meet and not which links are found.
+COUNTED, OFTEN = 16, 4
+SLOT_BITS = 20
+MET_AT_ONCE = 1 << 18
 WORD = re.compile(r"\w+")
 PLACE = np.uint64((1 << 30) - 1)
 MULTIPLIERS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -119,6 +126,51 @@ def sketches(labels: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefixes(
+    labels: np.ndarray, counts: np.ndarray, levels: np.ndarray, similarity: float = SIMILARITY
+) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each text in the common order, and how many.
+
+    Texts that are `similarity` alike share at least ceil(similarity * n) shingles, so one
+    at least of the n - ceil(similarity * n) + 1 first.
+    """
+    keys = (levels[(labels >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (
+        labels >> np.uint64(8)
+    )
+    keys = keys[np.lexsort((keys, np.repeat(np.arange(len(counts)), counts)))]
+    sizes = np.minimum(counts, counts - np.ceil(similarity * counts - 1e-9).astype(np.int64) + 1)
+    return keys[ragged(np.cumsum(counts) - counts, sizes)], sizes
+
+
+def meeting(
+    token: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float = SIMILARITY
+) -> Iterator[np.ndarray]:
+    """Pairs (a, b) of different roots that can be links, of rows sorted by token and n.
+
+    Before their first common shingle all are unmatched, and a link has (n + m) *
+    (1 - similarity) / (1 + similarity) of those at most.
+    """
+    spare = (1 - similarity) / (1 + similarity)
+    held, size = [], 0
+    i, step = np.arange(len(token)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(token)]
+        j = i + step
+        near = (token[i] == token[j]) & (n[i] >= similarity * n[j] - 1e-6)
+        i, j = i[near], j[near]
+        met = (root[i] != root[j]) & (place[i] + place[j] <= spare * (n[i] + n[j]) + 1e-6)
+        a, b = node[i[met]], node[j[met]]
+        if len(a):
+            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            size += len(a)
+        if size > MET_AT_ONCE:
+            yield np.unique(np.concatenate(held, axis=1), axis=1)
+            held, size = [], 0
+    if held:
+        yield np.unique(np.concatenate(held, axis=1), axis=1)
+
+
 def matched(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
     """Similarity by banded alignment of two texts' labelled shingles, 0 if under the bound."""
     n, m = len(a), len(b)
@@ -145,29 +197,74 @@ def matched(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     return found if found >= similarity else 0.0
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary of 64-bit values for each size."""
+    offsets = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+
+def _sketch(levels: np.ndarray, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for batch in slices(batches, "text", WORK_BYTES):
+            labels, counts = shingles(batch.column("text").to_pylist(), known)
+            found = np.zeros((len(counts), SKETCHES), np.uint64)
+            found[counts > 0] = sketches(labels, counts)
+            flat = pa.array(found.view(np.int64).ravel())
+            offsets = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * SKETCHES)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("text_key"), pa.array(counts),
+                    pa.ListArray.from_arrays(offsets, flat), _packed(*prefixes(labels, counts, levels, similarity)),
+                ],
+                ["doc_id", "text_key", "n", "sketches", "prefix"],
+            )
+
+    return run
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Hashes()
     for batch in slices(batches, "text", WORK_BYTES):
-        labels, counts = shingles(batch.column("text").to_pylist(), known)
-        found = np.zeros((len(counts), SKETCHES), np.uint64)
-        found[counts > 0] = sketches(labels, counts)
-        flat = pa.array(found.view(np.int64).ravel())
-        offsets = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * SKETCHES)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_key"), pa.array(counts), pa.ListArray.from_arrays(offsets, flat)],
-            ["doc_id", "text_key", "n", "sketches"],
-        )
+        labels, _ = shingles(batch.column("text").to_pylist(), known)
+        yield pa.RecordBatch.from_arrays([pa.array(labels.view(np.int64))], ["label"])
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of the prefixes."""
+    for batch in slices(batches, "prefix", WORK_BYTES):
+        packed = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prefix")]
+        sizes = np.array([len(x) for x in packed], np.int64)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        node, root, n = (batch.column(c).to_numpy()[of] for c in ("node", "root", "n"))
+        columns = [np.concatenate(packed), node, root, n, ragged(np.zeros(len(sizes), np.int64), sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "root", "n", "place"])
+
+
+def _meeting(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 5
+
+        def pairs(upto: int) -> Iterator[pa.RecordBatch]:
+            for met in meeting(*(c[:upto] for c in held), similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in met], ["a", "b"])
+
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
+            # The last shingle may go on in the next batch.
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            yield from pairs(cut)
+            held = [c[cut:] for c in held]
+        yield from pairs(len(held[0]))
+
+    return run
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Hashes()
     for batch in slices(batches, "text", WORK_BYTES):
         labels, counts = shingles(batch.column("text").to_pylist(), known)
-        offsets = np.concatenate([[0], np.cumsum(counts * 8)]).astype(np.int32)
-        packed = pa.Array.from_buffers(
-            pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(labels.tobytes())]
-        )
-        yield pa.RecordBatch.from_arrays([batch.column("node"), packed], ["node", "labels"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), _packed(labels, counts)], ["node", "labels"])
 
 
 def _verify(similarity: float):
@@ -196,11 +293,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def distinct_texts(own: DataFrame) -> DataFrame:
-    """One row for each text: node, text_key, rep_id (its smallest id), n, sketches; stored."""
-    rows = own.mapInArrow(_sketch, "doc_id long, text_key string, n long, sketches array<long>")
+def frequencies(own: DataFrame) -> np.ndarray:
+    """How often shingles of each slot of hashes are seen in some of the texts, as a power of two."""
+    some = own.where(F.pmod(F.xxhash64("text_key"), F.lit(COUNTED)) == 0)
+    often = some.mapInArrow(_labels, "label long").groupBy("label").count().where(F.col("count") >= OFTEN)
+    slot = F.shiftrightunsigned("label", 64 - SLOT_BITS).cast("int").alias("slot")
+    found = often.groupBy(slot).agg(F.max(F.floor(F.log2("count"))).cast("int").alias("level")).toArrow()
+    levels = np.zeros(1 << SLOT_BITS, np.uint8)
+    levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+    return levels
+
+
+def distinct_texts(own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each text: node, text_key, rep_id (its smallest id), n, sketches, prefix; stored."""
+    rows = own.mapInArrow(
+        _sketch(frequencies(own), similarity), "doc_id long, text_key string, n long, sketches array<long>, prefix binary"
+    )
     texts = rows.groupBy("text_key").agg(
-        F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches")
+        F.min("doc_id").alias("rep_id"), *(F.first(c).alias(c) for c in ("n", "sketches", "prefix"))
     )
     return stored(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
@@ -229,9 +339,19 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
-def links(own: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs (a, b, similarity) of nodes; stored."""
-    pairs = stored(candidates(texts, similarity), "near-pairs")
+def apart(texts: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs (a, b) of nodes of different roots that can be links."""
+    rows = texts.where("n > 0").join(roots, "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"), "n", "prefix"
+    )
+    tokens = rows.mapInArrow(_unfolded, "token long, node long, root long, n long, place long")
+    met = tokens.repartition("token").sortWithinPartitions("token", "n")
+    return met.mapInArrow(_meeting(similarity), "a long, b long").distinct()
+
+
+def links(own: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified ones (a, b, similarity) of pairs of nodes; stored."""
+    pairs = stored(pairs, "near-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = texts.join(needed, "node").select("node", "text_key", "rep_id")
     held = (
@@ -248,8 +368,12 @@ def links(own: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> D
 
 def text_classes(own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per distinct text: text_key, rep_id, root (a node) and class_id; stored."""
-    texts = distinct_texts(own)
-    roots = components(links(own, texts, similarity))
+    texts = distinct_texts(own, similarity)
+    roots = components(links(own, texts, candidates(texts, similarity), similarity))
+    rest = links(own, texts, apart(texts, roots, similarity), similarity)
+    if not rest.isEmpty():
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(edges.unionByName(rest.select("a", "b")))
     rooted = texts.select("node", "text_key", "rep_id").join(roots, "node", "left").select(
         "text_key", "rep_id", "node", F.coalesce("root", "node").alias("root")
     )

@@ -82,6 +82,42 @@ def test_near_copy_classes(spark, copies):
     assert near_copies.classes(docs.limit(0)).count() == 0
 
 
+def test_no_link_is_lost_in_a_large_group_that_shares_passages(spark):
+    """Pairs of links in a group whose texts are all nearly 0.8 alike; against all pairs."""
+    r = random.Random(1)
+    base, texts = words(r, 170), []
+    for _ in range(100):
+        own = words(r, 26)
+        texts += [" ".join(base + own), " ".join(base + own[:14] + words(r, 10))]
+    labels, counts = near_copies.shingles(texts, near_copies.Hashes())
+    parts = np.split(labels, np.cumsum(counts)[:-1])
+    group = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if group[a] != group[b] and near_copies.matched(parts[a], parts[b]):
+            low, high = sorted((group[a], group[b]))
+            group = [low if x == high else x for x in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.class_id for x in near_copies.classes(docs).collect()}
+    assert len(set(group)) == 100 and got == dict(enumerate(group))
+
+
+def test_linked_texts_meet_in_their_prefixes():
+    r = random.Random(3)
+    texts = [words(r, r.randint(5, 120)) for _ in range(30)]
+    texts += [[w if r.random() > 0.02 else "x" for w in t[r.randint(0, 3) :]] for t in texts for _ in range(4)]
+    labels, counts = near_copies.shingles([" ".join(t) for t in texts], near_copies.Hashes())
+    parts = np.split(labels, np.cumsum(counts)[:-1])
+    levels = np.random.default_rng(1).integers(0, 9, 1 << near_copies.SLOT_BITS).astype(np.uint8)
+    keys, sizes = near_copies.prefixes(labels, counts, levels)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    by = np.lexsort((counts[of], keys))
+    met = near_copies.meeting(keys[by], of[by], of[by], counts[of][by], place[by])
+    found = {tuple(p) for some in met for p in some.T.tolist()}
+    linked = {(a, b) for a, b in combinations(range(len(texts)), 2) if near_copies.matched(parts[a], parts[b])}
+    assert linked and linked <= found
+
+
 def test_order_counts_in_the_alignment():
     labels, _ = near_copies.shingles([" ".join(words(random.Random(1), 60))], near_copies.Hashes())
     assert near_copies.matched(labels, labels) == 1.0
