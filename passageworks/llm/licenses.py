@@ -1,8 +1,9 @@
 """License scan: ordered signature rules over normalised words.
 
 A text becomes its lower-cased words joined by single spaces.  Rules are regexes over
-that form; each names the keyword without which it cannot match, and only rules whose
-keyword a text holds are run.  Rules come from the families below, one for each name
+that form; each names the keyword without which it cannot match ('spdx' for the rules of
+SPDX lines, whose ids hold no word of the names), and only rules whose keyword a text
+holds are run.  Rules come from the families below, one for each name
 and form, so their number follows the tables and not hand-copied lists.
 
 Detections are then resolved in one sweep by (start, longest, priority): one that lies
@@ -112,7 +113,7 @@ def rules() -> list[Rule]:
         rule(label, phrase.split(" ")[0] if label == "cc-by-nc" else label.split("-")[0], phrase, 0, 1.0)
     for f in FAMILIES:
         spdx = f.label.replace("-", " ")
-        rule(f.label, f.keyword, rf"spdx licen[sc]e identifier {spdx}(?: [0-9]+)*(?: only| or later)?", 0, 1.0)
+        rule(f.label, "spdx", rf"spdx licen[sc]e identifier {spdx}(?: [0-9]+)*(?: only| or later)?", 0, 1.0)
         for name in f.names:
             for grant in GRANTS:
                 rule(

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+from re import _parser
+
 import pytest
 
 from passageworks.llm import licenses, quality, secrets
@@ -146,3 +148,37 @@ def test_rules_are_many_and_resolved(spark):
     # The longer detection holds the others of the same family.
     assert [(d.label, d.first_word, d.stop_word) for d in row.detections] == [("gpl", 2, 11), ("all-rights-reserved", 13, 16)]
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def sample(parsed, most):
+    """A text that a pattern matches, with all its optional parts or none."""
+    out = ""
+    for op, x in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(x)
+        elif name == "IN":
+            out += chr(next(v if str(o) == "LITERAL" else v[0] for o, v in x))
+        elif name == "SUBPATTERN":
+            out += sample(x[3], most)
+        elif name == "BRANCH":
+            out += sample(x[1][-1 if most else 0], most)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += sample(x[2], most) * (max(x[0], 1) if most else x[0])
+        else:
+            assert name == "ASSERT_NOT"
+    return out
+
+
+@pytest.mark.parametrize("most", [False, True])
+def test_what_a_rule_matches_holds_its_keyword(most):
+    for rule in licenses.rules():
+        text = sample(_parser.parse(rule.pattern), most)
+        assert re.fullmatch(rule.pattern, text) and rule.keyword in text.split(" "), (rule, text)
+
+
+def test_spdx_lines_alone(spark):
+    ids = {"MPL-2.0": "mpl", "EPL-2.0": "epl", "OFL-1.1": "ofl", "ODbL-1.0": "odbl", "GPL-3.0-or-later": "gpl", "MIT": "mit"}
+    rows = [(i, f"# SPDX-License-Identifier: {x}\nimport os\n") for i, x in enumerate(ids)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (label, 1.0) for i, label in enumerate(ids.values())}
