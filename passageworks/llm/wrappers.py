@@ -17,7 +17,8 @@ join small rows of (host, signature) to pick their blocks.
 
 Defined cases: a null html is empty and has no text; a null or odd url has the empty
 host; rows that repeat a page id are extracted each by itself; unclosed elements,
-comments and tags end with the page; elements deeper than `DEPTH` count as text of the
+comments and tags end with the page, also script and style, but of other elements whose
+inside is skipped an unclosed one is nothing but its start tag; elements deeper than `DEPTH` count as text of the
 one at that depth.
 """
 
@@ -46,7 +47,7 @@ CONSTANT_PAGES = 3
 LINK_SHARE = 0.8
 
 # Fixed sets of HTML elements and of words in class, id and role attributes.
-RAW = "script style noscript template iframe svg math title textarea select object canvas head".split()
+RAW = "script style noscript template iframe svg math title textarea select object canvas".split()
 BLOCKS = (
     "html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd "
     "table caption thead tbody tfoot tr td th form fieldset legend blockquote pre figure figcaption "
@@ -150,6 +151,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     root = Node("page")
     stack, raws, blocks = [root], [], []
     text: list[str] = []
+    unclosed: set[str] = set()  # tags without a further end tag
     links = anchor = 0
 
     def flush() -> None:
@@ -199,9 +201,14 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             continue
         at, tag = m.end(), m[2].lower()
         if tag in RAW_SET:
-            if not m[1] and not m[3].rstrip().endswith("/"):
+            if not m[1] and not m[3].rstrip().endswith("/") and tag not in unclosed:
                 stop = _closing(tag).search(page, at)
-                at = end if stop is None else stop.end()
+                if stop is not None:
+                    at = stop.end()
+                elif tag in ("script", "style"):
+                    at = end
+                else:
+                    unclosed.add(tag)
             text.append(" ")
             continue
         if tag not in BLOCK_SET:

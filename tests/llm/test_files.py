@@ -178,3 +178,15 @@ def test_hilbert_keys_are_a_path_through_all_points():
         keys = packing.hilbert_keys(points, bits)
         assert sorted(keys) == list(range(len(points)))
         assert np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(1).max() == 1
+
+
+def test_unclosed_elements_whose_inside_is_skipped():
+    def of(page):
+        return [t for _, t, _ in wrappers.parse(page)[1]]
+
+    assert of("<head><title>x</title><body><article><p>words</p></article>") == ["words"]
+    assert of("<html><head><style>a{}</style><p>one</p><script>s</script><p>two") == ["one", "two"]
+    for tag in "object canvas noscript svg select iframe math template".split():
+        assert of(f"<p>one</p><{tag}><p>two</p><{tag}><p>three</p>") == ["one", "two", "three"]
+        assert of(f"<p>one</p><{tag}>in</{tag}><p>two</p>") == ["one", "two"]
+    assert of("<p>one</p><script>var x = '<p>two</p>';") == of("<p>one</p><style><p>two</p>") == ["one"]
