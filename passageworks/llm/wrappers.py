@@ -18,8 +18,9 @@ join small rows of (host, signature) to pick their blocks.
 Defined cases: a null html is empty and has no text; a null or odd url has the empty
 host; rows that repeat a page id are extracted each by itself; unclosed elements,
 comments and tags end with the page, also script and style, but of other elements whose
-inside is skipped an unclosed one is nothing but its start tag; elements deeper than `DEPTH` count as text of the
-one at that depth.
+inside is skipped an unclosed one is nothing but its start tag; elements deeper than
+`DEPTH` are closed by their own end tags and count as text of the one at that depth, or
+of one below it where they have another role.
 """
 
 from __future__ import annotations
@@ -150,8 +151,10 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     """The folded tree, and (slot, text, characters in links) of each block of text."""
     root = Node("page")
     stack, raws, blocks = [root], [], []
-    text: list[str] = []
+    opened: dict[str, int] = {}  # how many of each tag are open
+    deep: list[str] = []  # roles of open elements below DEPTH
     unclosed: set[str] = set()  # tags without a further end tag
+    text: list[str] = []
     links = anchor = 0
 
     def flush() -> None:
@@ -165,10 +168,13 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         links = 0
 
     def close(upto: int) -> None:
-        for node in reversed(stack[upto:]):
-            node.kids = folded(node.kids)
+        for k in range(len(stack) - 1, upto - 1, -1):
+            if stack[k] is not stack[k - 1]:
+                stack[k].kids = folded(stack[k].kids)
+            opened[raws[k - 1]] -= 1
         del stack[upto:]
         del raws[upto - 1 :]
+        del deep[max(upto - DEPTH - 1, 0) :]
 
     at, end = 0, len(page)
     while at < end:
@@ -219,19 +225,28 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             continue
         flush()
         if m[1]:
-            if tag in raws:
-                close(len(raws) - raws[::-1].index(tag))
+            if opened.get(tag):
+                k = len(raws)
+                while raws[k - 1] != tag:
+                    k -= 1
+                close(k)
                 anchor = 0
             continue
         if raws and raws[-1] == "p":
             close(len(stack) - 1)
         while raws and raws[-1] in CLOSES.get(tag, ()):
             close(len(stack) - 1)
-        if len(stack) <= DEPTH:
-            node = Node(label_of(tag, m[3]))
+        node = Node(label_of(tag, m[3]))
+        if len(stack) > DEPTH:
+            above = deep[-1] if deep else role(n.label for n in stack)
+            deep.append(role([node.label], above))
+            if deep[-1] == above:
+                node = stack[-1]
+        if node is not stack[-1]:
             stack[-1].kids.append(node)
-            stack.append(node)
-            raws.append(tag)
+        stack.append(node)
+        raws.append(tag)
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     close(1)
     root.kids = folded(root.kids)
@@ -259,9 +274,11 @@ def slots(root: Node) -> list[tuple[Node, tuple[str, ...]]]:
     return out
 
 
-def role(path: Iterable[str]) -> str:
-    """`main` in an article, `aside` in elements that are none, else `open`."""
-    inside = False
+def role(path: Iterable[str], above: str = "open") -> str:
+    """`main` in an article, `aside` in elements that are none, else `open`; the path starts in `above`."""
+    if above == "aside":
+        return above
+    inside = above == "main"
     for label in path:
         tag, *words = label.split(".")
         odd = not ASIDE_WORDS.isdisjoint(words)

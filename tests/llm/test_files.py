@@ -190,3 +190,17 @@ def test_unclosed_elements_whose_inside_is_skipped():
         assert of(f"<p>one</p><{tag}><p>two</p><{tag}><p>three</p>") == ["one", "two", "three"]
         assert of(f"<p>one</p><{tag}>in</{tag}><p>two</p>") == ["one", "two"]
     assert of("<p>one</p><script>var x = '<p>two</p>';") == of("<p>one</p><style><p>two</p>") == ["one"]
+
+
+def test_end_tags_of_deep_elements_close_their_own():
+    def of(page):
+        root, blocks = wrappers.parse(page)
+        paths = {id(node): wrappers.role(path) for node, path in wrappers.slots(root)}
+        return [(t, paths[id(slot.final())]) for slot, t, _ in blocks]
+
+    many = wrappers.DEPTH + 20
+    deep = "<div>" * many + "<aside><p>ad</p></aside><p>in</p>" + "</div>" * many
+    got = of(f"<div id=page><article><p>one</p>{deep}<p>two</p></article><p>behind</p></div>")
+    assert got == [("one", "main"), ("ad", "aside"), ("in", "main"), ("two", "main"), ("behind", "open")]
+    got = of("<div>" * many + "<article><p>a</p><nav>b</nav><p>c</p></article>d" + "</div>" * many + "e")
+    assert got == [("a", "main"), ("b", "aside"), ("c", "main"), ("d", "open"), ("e", "open")]
