@@ -20,7 +20,8 @@ host; rows that repeat a page id are extracted each by itself; unclosed elements
 comments and tags end with the page, also script and style, but of other elements whose
 inside is skipped an unclosed one is nothing but its start tag; elements deeper than
 `DEPTH` are closed by their own end tags and count as text of the one at that depth, or
-of one below it where they have another role.
+of one below it where they have another role; exact copies of a page on a host count as
+one page.
 """
 
 from __future__ import annotations
@@ -318,7 +319,8 @@ def _parsed(with_blocks: bool):
                         x["n"], x["chars"], x["links"] = x["n"] + 1, x["chars"] + len(t), x["links"] + k
                         x["low"] = h if x["low"] is None else min(h, x["low"])
                         x["high"] = h if x["high"] is None else max(h, x["high"])
-                    row |= {"signature": signature, "traits": list(traits.values())}
+                    key = xxhash.xxh128_hexdigest(page)
+                    row |= {"signature": signature, "page_key": key, "traits": list(traits.values())}
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -334,12 +336,12 @@ PARSED = pa.schema(
 TRAIT = [(x, pa.int64()) for x in ("slot", "n", "chars", "links", "low", "high")]
 TRAITS = pa.schema(
     [
-        ("host", pa.string()), ("signature_key", pa.string()), ("signature", pa.string()),
+        ("host", pa.string()), ("signature_key", pa.string()), ("signature", pa.string()), ("page_key", pa.string()),
         ("traits", pa.list_(pa.struct(TRAIT))),
     ]
 )
 TRAITS_DDL = (
-    "host string, signature_key string, signature string, traits array<struct<slot:bigint,n:bigint,"
+    "host string, signature_key string, signature string, page_key string, traits array<struct<slot:bigint,n:bigint,"
     "chars:bigint,links:bigint,low:bigint,high:bigint>>"
 )
 PARSED_DDL = "page_id long, url string, host string, signature_key string, blocks array<string>, at array<int>"
@@ -353,8 +355,8 @@ def hosts(pages: DataFrame) -> DataFrame:
 
 
 def signatures(pages: DataFrame) -> DataFrame:
-    """Per host and signature: pages, and `traits` of its slots over those pages; stored."""
-    rows = pages.mapInArrow(_parsed(False), TRAITS_DDL)
+    """Per host and signature: different pages, and `traits` of its slots over those pages; stored."""
+    rows = pages.mapInArrow(_parsed(False), TRAITS_DDL).dropDuplicates(["host", "page_key"])
     # One row for each trait: all pages of a host come down to a row per signature and slot.
     by_slot = (
         rows.select("host", "signature_key", "signature", F.explode("traits").alias("t"))
@@ -430,7 +432,12 @@ def roles(found: DataFrame) -> DataFrame:
         .mapInArrow(_aligned, "host string, signature_key string, slot long, place long, role string")
     )
     placed = stored(aligned.join(found.drop("signature"), ["host", "signature_key", "slot"]), "page-slots")
-    traits = placed.groupBy("host", "place").agg(
+    # Slots of one signature at one place are on the same pages.
+    by_signature = placed.groupBy("host", "place", "signature_key").agg(
+        F.max("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sum("links").alias("links"), F.sum("chars").alias("chars"),
+    )
+    traits = by_signature.groupBy("host", "place").agg(
         F.sum("pages").alias("all_pages"), (F.min("low") == F.max("high")).alias("constant"),
         (F.sum("links") > LINK_SHARE * F.sum("chars")).alias("linked"),
     )

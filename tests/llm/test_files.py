@@ -180,6 +180,12 @@ def test_hilbert_keys_are_a_path_through_all_points():
         assert np.abs(np.diff(points[np.argsort(keys)], axis=0)).sum(1).max() == 1
 
 
+def texts_of(spark, pages):
+    rows = [(i, f"https://{host}/{i}", page) for i, (host, page) in enumerate(pages)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
 def test_unclosed_elements_whose_inside_is_skipped():
     def of(page):
         return [t for _, t, _ in wrappers.parse(page)[1]]
@@ -204,3 +210,12 @@ def test_end_tags_of_deep_elements_close_their_own():
     assert got == [("one", "main"), ("ad", "aside"), ("in", "main"), ("two", "main"), ("behind", "open")]
     got = of("<div>" * many + "<article><p>a</p><nav>b</nav><p>c</p></article>d" + "</div>" * many + "e")
     assert got == [("a", "main"), ("b", "aside"), ("c", "main"), ("d", "open"), ("e", "open")]
+
+
+def test_copies_of_a_page_do_not_make_its_text_constant(spark):
+    page = "<body><div><p>all of it</p></div></body>"
+    assert texts_of(spark, [("copies", page)] * 4) == ["all of it"] * 4
+    # Its own optional block stays; what three different pages share goes.
+    mixed = [("mixed", "<body><h2>menu</h2><p>same</p><table><td>own</td></table></body>")] * 4
+    mixed += [("mixed", f"<body><h2>menu</h2><p>text {i}</p></body>") for i in range(3)]
+    assert texts_of(spark, mixed) == ["same\nown"] * 4 + [f"text {i}" for i in range(3)]
