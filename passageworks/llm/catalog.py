@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageworks.llm import archives, leaks, licenses, near_copies, packing, quality, secrets, suffixes, toxicity, wrappers
+from passageworks.llm import archives, leaks, lexical, licenses, near_copies, packing, quality, secrets, spelling, suffixes
+from passageworks.llm import token_counts as counts
+from passageworks.llm import toxicity, wrappers
 from passageworks.llm.oracles import ORACLES
 from passageworks.sources.tables import read_files
 
@@ -74,6 +76,19 @@ def curve_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), path, with_ids=False)
 
 
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return counts.count_tokens(_table(spark, folder, "documents"), path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": secret_ownership,
     "op2_near_copies": near_copy_classes,
@@ -85,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curve_packing": curve_packing,
     "op9_quality_rules": quality_rules,
     "op10_warc_packages": warc_packages,
+    "op11_spelling_variants": spelling_variants,
+    "op12_lexical_search": lexical_search,
+    "op13_token_counts": token_counts,
 }

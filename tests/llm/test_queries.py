@@ -18,7 +18,7 @@ here = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
 def test_one_query_for_each_operator():
     names = [n for n in entry_point.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry_point.queries() and set(catalog.QUERIES) <= set(entry_point.queries())
 
 
@@ -35,6 +35,7 @@ COLUMNS = {
     "op6_repeated_strings": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op7_toxic_segments": "doc_id held_out score predicted",
     "op9_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op13_token_counts": "doc_id n_bytes n_tokens over_limit",
 }
 
 
