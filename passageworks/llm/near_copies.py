@@ -17,7 +17,14 @@ Comparing with the bucket's first and last finds most classes with work in propo
 the texts.  What it leaves apart is then settled exactly: shingles have one order, rare
 ones first, and two texts that are linked share one of the first n - ceil(0.8 n) + 1 of
 theirs.  All pairs of different classes that meet in such a shingle are aligned, but for
-those whose lengths or places there leave too few to match; no bucket is cut.
+those whose lengths or places there leave too few to match; no bucket is cut.  Pairs of one
+class are never formed.  A shingle that is frequent is dropped if all its texts are of one
+class; otherwise its texts are dealt into blocks, and every two blocks meet in a task.
+
+Before a pair's shingles are moved, its prints are compared: a print has the parity of the
+labelled shingles in each of some slots of their hashes, about two for each shingle.  Slots
+that differ cannot outnumber the shingles that do, so a pair with more of them than a link
+may have unmatched shingles is no link, and nothing else is dropped.
 
 Defined cases: texts under five words are one shingle; null and empty texts are equal
 texts without a word, and one class; case and punctuation do not count, equal texts
@@ -33,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +49,7 @@ from passageworks.llm.batches import mixed, ragged, slices
 from passageworks.llm.columns import fresh, picked, whole
 from passageworks.llm.components import components
 from passageworks.llm.suffixes import joined
-from passageworks.session import ship_package, stored
+from passageworks.session import remove_work, ship_package, stored, stored_at
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 16, 2
@@ -51,7 +59,11 @@ WORK_BYTES = 1 << 20
 #: order decides how many pairs meet and not which links are found.
 COUNTED, OFTEN = 16, 4
 SLOT_BITS = 20
-MET_AT_ONCE = 1 << 18
+MET_AT_ONCE = 1 << 20
+#: Least slots of a print.
+PRINT_BITS = 256
+#: From this level on shingles are looked at before their texts meet, in blocks of so many texts.
+HOT_LEVEL, HOT_ROWS = 8, 8_192
 WORD = re.compile(r"\w+")
 PLACE = np.uint64((1 << 30) - 1)
 MULTIPLIERS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -142,24 +154,63 @@ def prefixes(
     return keys[ragged(np.cumsum(counts) - counts, sizes)], sizes
 
 
+def prints(labels: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of all texts' slots as bytes, and how many bytes each text has.
+
+    A text has a power of two of slots, so that halves of a print can be added to compare it
+    with a shorter one.
+    """
+    slots = 1 << np.ceil(np.log2(np.maximum(2 * counts, PRINT_BITS))).astype(np.int64)
+    begins = np.cumsum(slots) - slots
+    at = np.repeat(begins, counts) + (labels & np.repeat(slots - 1, counts).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(slots.sum())) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little"), slots // 8
+
+
+def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """In how many slots the prints of each pair differ, at the width of the shorter one."""
+    a_size, b_size = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (a, b))
+    out = np.zeros(len(a), np.int64)
+    for size in np.unique(a_size << 32 | b_size).tolist():
+        rows = np.flatnonzero((a_size == size >> 32) & (b_size == size & 0xFFFFFFFF))
+        width = min(size >> 32, size & 0xFFFFFFFF)
+        x, y = (
+            np.bitwise_xor.reduce(np.frombuffer(c.take(pa.array(rows)).buffers()[2], np.uint8).reshape(len(rows), -1, width), axis=1)
+            for c in (a, b)
+        )
+        out[rows] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
 def meeting(
-    token: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float = SIMILARITY
+    group: np.ndarray, side: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray,
+    similarity: float = SIMILARITY,
 ) -> Iterator[np.ndarray]:
-    """Pairs (a, b) of different roots that can be links, of rows sorted by token and n.
+    """Pairs (a, b) of different roots that can be links, of rows sorted by group, side and root.
 
-    Before their first common shingle all are unmatched, and a link has (n + m) *
-    (1 - similarity) / (1 + similarity) of those at most.
+    All rows of side 0 in a group meet; those of side 1 meet those of side 2.  Texts of n and m
+    shingles that are linked have `need` of them in common at least; before their first common
+    one all are unmatched.
     """
-    spare = (1 - similarity) / (1 + similarity)
+    rows = len(group)
+    if not rows:
+        return
+    last = np.append(np.flatnonzero(np.diff(group)), rows - 1)
+    group_end = np.repeat(last + 1, np.diff(np.concatenate([[-1], last])))
+    # Rows of a run do not meet each other: one root, or one side of two.
+    run = (np.diff(group) != 0) | (np.diff(side) != 0) | ((side[1:] == 0) & (np.diff(root) != 0))
+    last = np.append(np.flatnonzero(run), rows - 1)
+    run_end = np.repeat(last + 1, np.diff(np.concatenate([[-1], last])))
+    fan = group_end - run_end
+    ends = np.cumsum(fan)
+    cuts = np.unique(np.searchsorted(ends, np.arange(MET_AT_ONCE, ends[-1] + MET_AT_ONCE, MET_AT_ONCE), "left") + 1)
     held, size = [], 0
-    i, step = np.arange(len(token)), 0
-    while len(i):
-        step += 1
-        i = i[i + step < len(token)]
-        j = i + step
-        near = (token[i] == token[j]) & (n[i] >= similarity * n[j] - 1e-6)
-        i, j = i[near], j[near]
-        met = (root[i] != root[j]) & (place[i] + place[j] <= spare * (n[i] + n[j]) + 1e-6)
+    for lo, hi in zip([0, *cuts.tolist()], cuts.tolist()):
+        i = np.repeat(np.arange(lo, min(hi, rows)), fan[lo:hi])
+        j = ragged(run_end[lo:hi], fan[lo:hi])
+        need = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
+        met = (root[i] != root[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
+        met &= n[i] + n[j] - place[i] - place[j] >= 2 * need
         a, b = node[i[met]], node[j[met]]
         if len(a):
             held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
@@ -198,12 +249,12 @@ def matched(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
 
 
 def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """One binary of 64-bit values for each size."""
-    offsets = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32)
+    """One binary of as many values for each size."""
+    offsets = np.concatenate([[0], np.cumsum(sizes * values.itemsize)]).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
 
 
-def _sketch(levels: np.ndarray, similarity: float):
+def _sketch(levels, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in slices(batches, "text", WORK_BYTES):
@@ -215,9 +266,10 @@ def _sketch(levels: np.ndarray, similarity: float):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("text_key"), pa.array(counts),
-                    pa.ListArray.from_arrays(offsets, flat), _packed(*prefixes(labels, counts, levels, similarity)),
+                    pa.ListArray.from_arrays(offsets, flat), _packed(*prefixes(labels, counts, levels.value, similarity)),
+                    _packed(*prints(labels, counts)),
                 ],
-                ["doc_id", "text_key", "n", "sketches", "prefix"],
+                ["doc_id", "text_key", "n", "sketches", "prefix", "print"],
             )
 
     return run
@@ -230,36 +282,60 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(labels.view(np.int64))], ["label"])
 
 
-def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shingle of the prefixes."""
-    for batch in slices(batches, "prefix", WORK_BYTES):
-        packed = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prefix")]
-        sizes = np.array([len(x) for x in packed], np.int64)
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        node, root, n = (batch.column(c).to_numpy()[of] for c in ("node", "root", "n"))
-        columns = [np.concatenate(packed), node, root, n, ragged(np.zeros(len(sizes), np.int64), sizes)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "root", "n", "place"])
+def _unfolded(hot: bool, level: int):
+    """One row for each shingle of the prefixes that is, or is not, of `level` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "prefix", WORK_BYTES):
+            packed = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prefix")]
+            sizes = np.array([len(x) for x in packed], np.int64)
+            of, place = np.repeat(np.arange(len(sizes)), sizes), ragged(np.zeros(len(sizes), np.int64), sizes)
+            token = np.concatenate(packed) if packed else np.empty(0, np.int64)
+            taken = np.flatnonzero((token >> 56 >= level) == hot)
+            of = of[taken]
+            node, root, n = (batch.column(c).to_numpy()[of] for c in ("node", "root", "n"))
+            columns = [token[taken], node, root, n.astype(np.int32), place[taken].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "root", "n", "place"])
+
+    return run
 
 
 def _meeting(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 5
+        held = [np.empty(0, np.int64)] * 7
 
         def pairs(upto: int) -> Iterator[pa.RecordBatch]:
-            for met in meeting(*(c[:upto] for c in held), similarity):
+            token, cell, *rest = (c[:upto] for c in held)
+            new = (np.diff(token, prepend=token[:1]) != 0) | (np.diff(cell, prepend=cell[:1]) != 0)
+            for met in meeting(np.cumsum(new), *rest, similarity=similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in met], ["a", "b"])
 
         for batch in batches:
-            held = [np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate(held)]
-            # The last shingle may go on in the next batch.
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            yield from pairs(cut)
-            held = [c[cut:] for c in held]
+            held = [np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate(held)]
+            # The last group may go on in the next batch.
+            same = (held[0] == held[0][-1:]) & (held[1] == held[1][-1:])
+            cut = int(np.argmax(same)) if len(same) else 0
+            if cut:
+                yield from pairs(cut)
+                held = [c[cut:] for c in held]
         yield from pairs(len(held[0]))
 
     return run
 
 
+def _alike(similarity: float):
+    """Of pairs those whose prints allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = (batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()).astype(np.float64)
+            spare = both * (1 - similarity) / (1 + similarity) + 1e-6
+            kept = differing(batch.column("a_print"), batch.column("b_print")) <= spare
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    return run
+
+
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Hashes()
     for batch in slices(batches, "text", WORK_BYTES):
@@ -305,12 +381,15 @@ def frequencies(own: DataFrame) -> np.ndarray:
 
 
 def distinct_texts(own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each text: node, text_key, rep_id (its smallest id), n, sketches, prefix; stored."""
+    """One row for each text: node, text_key, rep_id (its smallest id), n, sketches, prefix, print; stored."""
+    # A fixed size, whatever the input's.
+    levels = own.sparkSession.sparkContext.broadcast(frequencies(own))
     rows = own.mapInArrow(
-        _sketch(frequencies(own), similarity), "doc_id long, text_key string, n long, sketches array<long>, prefix binary"
+        _sketch(levels, similarity),
+        "doc_id long, text_key string, n long, sketches array<long>, prefix binary, print binary",
     )
     texts = rows.groupBy("text_key").agg(
-        F.min("doc_id").alias("rep_id"), *(F.first(c).alias(c) for c in ("n", "sketches", "prefix"))
+        F.min("doc_id").alias("rep_id"), *(F.first(c).alias(c) for c in ("n", "sketches", "prefix", "print"))
     )
     return stored(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
@@ -344,26 +423,47 @@ def apart(texts: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) ->
     rows = texts.where("n > 0").join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "n", "prefix"
     )
-    tokens = rows.mapInArrow(_unfolded, "token long, node long, root long, n long, place long")
-    met = tokens.repartition("token").sortWithinPartitions("token", "n")
+    schema = "token long, node long, root long, n int, place int"
+    hot, cold = (rows.mapInArrow(_unfolded(h, HOT_LEVEL), schema) for h in (True, False))
+    mixed = (
+        hot.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows"))
+        .where("lo < hi").select("token", F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("ways"))
+    )
+    own = F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")
+    # Every two blocks of a shingle have a cell of their own.
+    dealt = hot.join(mixed, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    cell = F.least("own", "other").cast("long") * F.col("ways") + F.greatest("own", "other")
+    columns = ["token", "cell", "side", "node", "root", "n", "place"]
+    tokens = (
+        dealt.withColumns({"cell": cell, "side": side}).select(*columns)
+        .unionByName(cold.withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(0)}).select(*columns))
+    )
+    met = tokens.repartition("token", "cell").sortWithinPartitions("token", "cell", "side", "root")
     return met.mapInArrow(_meeting(similarity), "a long, b long").distinct()
 
 
 def links(own: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified ones (a, b, similarity) of pairs of nodes; stored."""
-    pairs = stored(pairs, "near-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    spark = own.sparkSession
+    prints = texts.select("node", "n", "print")
+    a, b = (prints.toDF(x, f"{x}_n", f"{x}_print") for x in ("a", "b"))
+    likely, likely_path = stored_at(pairs.join(a, "a").join(b, "b").mapInArrow(_alike(similarity), "a long, b long"), "near-pairs")
+    needed = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = texts.join(needed, "node").select("node", "text_key", "rep_id")
     held = (
         own.join(wanted, "text_key").where(F.col("doc_id").eqNullSafe(F.col("rep_id")))
         .select("node", "text").dropDuplicates(["node"]).mapInArrow(_shingled, "node long, labels binary")
     )
-    held = stored(held, "near-labels")
+    held, held_path = stored_at(held, "near-labels")
     a = held.select(F.col("node").alias("a"), F.col("labels").alias("a_labels"))
     b = held.select(F.col("node").alias("b"), F.col("labels").alias("b_labels"))
-    return stored(
-        pairs.join(a, "a").join(b, "b").mapInArrow(_verify(similarity), "a long, b long, similarity double"), "near-links"
+    found = stored(
+        likely.join(a, "a").join(b, "b").mapInArrow(_verify(similarity), "a long, b long, similarity double"), "near-links"
     )
+    remove_work(spark, likely_path)
+    remove_work(spark, held_path)
+    return found
 
 
 def text_classes(own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

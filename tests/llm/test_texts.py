@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,11 +113,45 @@ def test_linked_texts_meet_in_their_prefixes():
     keys, sizes = near_copies.prefixes(labels, counts, levels)
     of = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    by = np.lexsort((counts[of], keys))
-    met = near_copies.meeting(keys[by], of[by], of[by], counts[of][by], place[by])
+    by = np.lexsort((of, keys))
+    met = near_copies.meeting(keys[by], 0 * by, of[by], of[by], counts[of][by], place[by])
     found = {tuple(p) for some in met for p in some.T.tolist()}
     linked = {(a, b) for a, b in combinations(range(len(texts)), 2) if near_copies.matched(parts[a], parts[b])}
     assert linked and linked <= found
+    # Prints keep all links, and drop most pairs of texts that have little in common.
+    held = near_copies._packed(*near_copies.prints(labels, counts))
+    pairs = np.array(list(combinations(range(len(texts)), 2)))
+    apart = near_copies.differing(held.take(pa.array(pairs[:, 0])), held.take(pa.array(pairs[:, 1])))
+    kept = {tuple(p) for p in pairs[apart <= counts[pairs].sum(axis=1) / 9 + 1e-6].tolist()}
+    assert linked <= kept and len(kept) < len(pairs) / 4
+
+
+def test_blocks_of_one_shingle_meet_once_across_classes():
+    sides, nodes = np.array([0, 0, 0, 0, 1, 1, 2, 2]), np.arange(8)
+    groups, roots = np.array([1, 1, 1, 1, 2, 2, 2, 2]), np.array([0, 0, 5, 6, 5, 7, 5, 8])
+    met = near_copies.meeting(groups, sides, nodes, roots, np.full(8, 50), np.zeros(8, int))
+    assert {tuple(p) for some in met for p in some.T.tolist()} == {
+        (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (4, 7), (5, 6), (5, 7)
+    }
+    many = np.zeros(100_000, np.int64)
+    start = time.perf_counter()
+    assert list(near_copies.meeting(many, many, np.arange(100_000), many, many + 50, many)) == []
+    assert time.perf_counter() - start < 5
+
+
+def test_frequent_shingles_in_blocks(spark, copies, monkeypatch):
+    """All shingles taken as frequent, and dealt into blocks of two texts."""
+    monkeypatch.setattr(near_copies, "HOT_LEVEL", 0)
+    monkeypatch.setattr(near_copies, "HOT_ROWS", 2)
+    docs = spark.createDataFrame(copies, "doc_id long, text string").repartition(5)
+    own = near_copies.keyed(docs)
+    texts = near_copies.distinct_texts(own)
+    none = spark.createDataFrame([], "node long, root long")
+    pairs = near_copies.apart(texts, none)
+    found = {(r.a, r.b) for r in near_copies.links(own, texts, pairs).collect()}
+    monkeypatch.setattr(near_copies, "HOT_LEVEL", 99)
+    plain = {(r.a, r.b) for r in near_copies.links(own, texts, near_copies.apart(texts, none)).collect()}
+    assert plain and found == plain
 
 
 def test_order_counts_in_the_alignment():
