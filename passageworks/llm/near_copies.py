@@ -5,15 +5,14 @@ its occurrence.  For every hash function the sketch takes the `PICKED` smallest
 shingles and keeps them in the order of the text, so that equal sketches speak for
 texts that agree in content and in order.
 
-Texts that share a sketch, or a run of 2, 4 or 6 consecutive ones, are in one bucket;
-each is compared with the first and the last of the bucket in an order of the bucket's
-own.  A pair is a link when its alignment matches 0.8 of all labelled shingles of either
+Texts that share a sketch, or a run of three consecutive ones, are in one bucket; each is
+compared with the first of the bucket in an order of the bucket's own.  A pair is a link when its alignment matches 0.8 of all labelled shingles of either
 text: matched / (n + m - matched).  Labelled shingles are unique, so the alignment is the
 longest chain of common ones that grows in both texts, among those whose places differ
 by no more than the unmatched ones a link may have (the band).  Classes are the
 connected components of the links; equal texts are one node from the start.
 
-Comparing with the bucket's first and last finds most classes with work in proportion to
+Comparing with the bucket's first finds most classes with work in proportion to
 the texts.  What it leaves apart is then settled exactly: shingles have one order, rare
 ones first, and two texts that are linked share one of the first n - ceil(0.8 n) + 1 of
 theirs.  All pairs of different classes that meet in such a shingle are aligned, but for
@@ -53,7 +52,7 @@ from passageworks.session import remove_work, ship_package, stored, stored_at
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKED = 16, 2
-RUNS = (1, 2, 4, 6)
+RUNS = (1, 3)
 WORK_BYTES = 1 << 20
 #: One text in `COUNTED` is counted for the order of the shingles, in slots of hashes.  The
 #: order decides how many pairs meet and not which links are found.
@@ -395,7 +394,7 @@ def distinct_texts(own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def candidates(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs (a, b) of nodes to compare: each with its buckets' first and last."""
+    """Distinct pairs (a, b) of nodes to compare: each with its buckets' first."""
     keys = [
         F.xxhash64(F.lit(r), F.lit(j), *(F.col("sketches")[(j + i) % SKETCHES] for i in range(r)))
         for r in RUNS for j in range(SKETCHES)
@@ -403,13 +402,11 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = texts.where("n > 0").select("node", "n", F.explode(F.array(*keys)).alias("bucket"))
     # Each bucket orders its texts in a way of its own.
     rank = F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"))
-    ends = (
-        rows.groupBy("bucket").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-        .where("first.node <> last.node")
-    )
-    met = rows.join(ends, "bucket").select(
-        "node", "n", F.explode(F.array("first", "last")).alias("other")
+    firsts = (
+        rows.groupBy("bucket").agg(F.min(rank).alias("other"), F.max("node").alias("hi"), F.min("node").alias("lo"))
+        .where("lo < hi").select("bucket", "other")
     )
+    met = rows.join(firsts, "bucket")
     alike = F.least("n", "other.n") >= F.lit(similarity) * F.greatest("n", "other.n")
     return (
         met.where((F.col("node") != F.col("other.node")) & alike)
