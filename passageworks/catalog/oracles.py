@@ -7,7 +7,7 @@ text rule is stated once.
 from __future__ import annotations
 
 from passageworks.catalog.inputs import CHUNK_TOKENS, TOPICS
-from passageworks.catalog.queries import ANN_PROBES, PIPELINE_CONTEXT, WIDE_CONTEXT
+from passageworks.catalog.queries import ANN_PROBES, PIPELINE_CONTEXT, WIDE_CONTEXT, WIDE_WORD
 from passageworks.functions import fixed
 from passageworks.functions.text import WS_CLASS
 from passageworks.functions.tokens import TOKEN_PATTERN
@@ -270,6 +270,10 @@ ORACLES["managed_chunk_table"] = f"""WITH {DOCUMENT_CHUNKS}
 SELECT 'tickets' AS source_table, source_id, count(*) AS n_rows,
   (SELECT count(*) FROM chunks) AS n_analyzed FROM chunks GROUP BY source_id"""
 
+ORACLES["switched_chunk_table"] = f"""WITH {DOCUMENT_CHUNKS}
+SELECT id, 'tickets' AS source_table, chunks.source_id, length(content)::INTEGER AS n_chars
+FROM chunks JOIN contents USING (id)"""
+
 ORACLES["dense_turn_ids"] = f"""WITH {MESSAGES}
 SELECT ticket_id, created_at, id AS message_id,
   row_number() OVER (ORDER BY ticket_id, created_at, id) AS dense_id FROM messages"""
@@ -304,6 +308,8 @@ ORACLES["constraint_report"] = f"""WITH {USERS}, {TICKETS}, {MESSAGES}, {VECTORS
     ('unique', 'id', 'count(*) - count(DISTINCT id)'),
 ])}"""
 
+ORACLES["constraint_report_bits"] = ORACLES["constraint_report"]
+
 ORACLES["ticket_conversations"] = f"""WITH {TICKET_ROWS}
 SELECT ticket_id, user_name, {TS.format('created_at')} AS created,
   coalesce({TS.format('closed_at')}, 'None') AS closed, conversation FROM ticket_rows"""
@@ -342,6 +348,13 @@ FROM documents"""
 ORACLES["topic_labels"] = f"""WITH {DOCS}, {PARAS}
 SELECT doc_id, para_no, {label('paragraph')} AS label FROM paras"""
 
+ORACLES["topic_labels_wide"] = f"""WITH {DOCS}, {PARAS},
+keywords AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WIDE_WORD}')) AS word FROM benchmark),
+hits AS (SELECT doc_id, para_no, min(word[1]) AS letter
+  FROM paras JOIN keywords ON contains(lower(paragraph), word) GROUP BY ALL)
+SELECT doc_id, para_no, coalesce('[' || letter || ']', {lit(fixed.DEFAULT_LABEL)}) AS label
+FROM paras LEFT JOIN hits USING (doc_id, para_no)"""
+
 ORACLES["sentence_chunks"] = f"""WITH RECURSIVE split AS (SELECT doc_id AS key,
   {sentence_list('text')} AS ss FROM documents), {windows(fixed.MAX_TOKENS)}
 SELECT key AS doc_id, piece_no::INTEGER AS piece_no, body FROM windows"""
@@ -373,6 +386,8 @@ ORACLES["group_chunks_topk"] = f"""WITH {VECTORS}, scores AS (
   WHERE source_id IS NOT NULL), {inside(1, fixed.TOP_K)}
 SELECT qid, source_id, chunk_id, d, rank FROM inside"""
 
+ORACLES["ticket_lookup_lateral"] = ORACLES["group_chunks_topk"]
+
 ORACLES["two_stage_retrieval"] = f"WITH {VECTORS}, {retrieval()} {RETRIEVED}"
 
 ORACLES["text_retrieval"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {ASKED},
@@ -381,6 +396,8 @@ ORACLES["text_retrieval"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {A
 ORACLES["ann_exact"] = f"""WITH {VECTORS}, {candidates(fixed.TOP_K)}
 SELECT qid, chunk_id, source_id, d, rank FROM hits"""
 
+ORACLES["ann_bounded"] = ORACLES["candidate_topk"]
+
 ORACLES["two_stage_ann"] = ORACLES["two_stage_retrieval"]
 
 PROBED = f"""centres AS (SELECT row_number() OVER (ORDER BY label) AS cell, c FROM (

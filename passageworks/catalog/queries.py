@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from passageworks.catalog.inputs import CHUNK_TOKENS, TOPICS, Inputs
 from passageworks.functions import fixed, text, vectors
+from passageworks.functions.automaton import topic_label_wide
 from passageworks.functions.tokens import REGEX_COUNTER
-from passageworks.operators import chunking, documents, ivf, packing, prompts, quality
+from passageworks.operators import chunking, documents, ivf, key_bits, packing, prompts, quality
 from passageworks.operators import ranking, replies
+from passageworks.operators.cells import bounded_topk, measure_cells
 from passageworks.operators.embedding import embed
 from passageworks.operators.ids import dense_ids
 from passageworks.operators.ordered import ordered_concat
@@ -28,8 +30,10 @@ from passageworks.streaming.questions import answer_stream, question_stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-ANN_LISTS, ANN_PROBES = 10, 3
+ANN_LISTS, ANN_PROBES = 10, 8
+BOUNDED_LISTS = 60
 WIDE_CONTEXT, PIPELINE_CONTEXT = 12_000, 2_500
+WIDE_WORD, MAX_KEYWORDS = "[a-z]{4,}", 200_000
 
 
 def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
@@ -104,6 +108,19 @@ def managed_chunk_table(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def switched_chunk_table(t: Inputs) -> DataFrame:
+    """A table whose files are switched twice, its first versions removed."""
+    spark, name = t.spark, f"passageworks_switched_{uuid.uuid4().hex}"
+    folder = work_path(spark, name)
+    tables.create_if_missing(spark, name, CHUNKS, f"{folder}/version-0")
+    rows = _stored_document_chunks(t).withColumn("source_table", F.lit(fixed.SOURCE_TABLE))
+    old = tables.switch_table(rows.limit(1), name, folder)
+    tables.switch_table(rows, name, folder)
+    tables.drop_version(spark, name, old)
+    return spark.table(name).select("id", "source_table", "source_id", F.char_length("content").alias("n_chars"))
+
+
 @query
 def dense_turn_ids(t: Inputs) -> DataFrame:
     rows = t.messages().select("ticket_id", "created_at", F.col("id").alias("message_id"))
@@ -115,6 +132,16 @@ def dense_turn_ids(t: Inputs) -> DataFrame:
 
 @query
 def constraint_report(t: Inputs) -> DataFrame:
+    return _constraints(t, quality.check_table)
+
+
+@query
+def constraint_report_bits(t: Inputs) -> DataFrame:
+    """The same report; dense integer keys are checked by bit tables."""
+    return _constraints(t, key_bits.check_table_bits)
+
+
+def _constraints(t: Inputs, check_table) -> DataFrame:
     users, tickets, messages = t.users(), t.tickets(), t.messages()
     user_spec = TableSpec(("id",), ("name", "email"), {"name": 17, "email": 20})
     ticket_spec = TableSpec(
@@ -125,10 +152,10 @@ def constraint_report(t: Inputs) -> DataFrame:
     )
     chunk_spec = TableSpec(("id",), ("source_id",), vector_dims={"embedding": 64})
     parts = {
-        "users": quality.check_table(users, user_spec),
-        "tickets": quality.check_table(tickets, ticket_spec, {"user_id": (users, "id")}),
-        "messages": quality.check_table(messages, message_spec, {"ticket_id": (tickets, "id")}),
-        "chunks": quality.check_table(t.vector_chunks(), chunk_spec),
+        "users": check_table(users, user_spec),
+        "tickets": check_table(tickets, ticket_spec, {"user_id": (users, "id")}),
+        "messages": check_table(messages, message_spec, {"ticket_id": (tickets, "id")}),
+        "chunks": check_table(t.vector_chunks(), chunk_spec),
     }
     named = [df.select(F.lit(name).alias("role"), "*") for name, df in parts.items()]
     return named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
@@ -220,6 +247,22 @@ def topic_labels(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def topic_labels_wide(t: Inputs) -> DataFrame:
+    """Labels by all longer words of the benchmark items, a topic for each first letter."""
+    words = t.table("benchmark").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WIDE_WORD), F.lit(0))).alias("word")
+    ).distinct()
+    topics: dict[str, list[str]] = {}
+    for row in words.orderBy("word").limit(MAX_KEYWORDS + 1).collect():
+        topics.setdefault(row.word[0], []).append(row.word)
+    if sum(map(len, topics.values())) > MAX_KEYWORDS:
+        raise ValueError("more keywords than a driver should hold")
+    return chunking.paragraphs(t.documents()).select(
+        "doc_id", "para_no", topic_label_wide(t.spark, F.col("paragraph"), topics).alias("label")
+    )
+
+
 @query
 def sentence_chunks(t: Inputs) -> DataFrame:
     return chunking.sentence_chunks(t.document_paragraphs())
@@ -294,6 +337,17 @@ def group_chunks_topk(t: Inputs) -> DataFrame:
     return hits.select("qid", "source_id", "chunk_id", "d", "rank")
 
 
+@query
+def ticket_lookup_lateral(t: Inputs) -> DataFrame:
+    """Every chunk's own source, by a correlated lookup over chunks laid out by source."""
+    path = work_path(t.spark, "by-source")
+    chunks = t.vector_chunks().filter("source_id IS NOT NULL")
+    chunks.repartitionByRange("source_id", "id").write.parquet(path)
+    laid = tables.read_files(t.spark, path)
+    asked = laid.select(F.col("id").alias("qid"), "source_id", "embedding")
+    return ranking.lateral_chunks(laid, asked)
+
+
 @query
 def two_stage_retrieval(t: Inputs) -> DataFrame:
     hits = ranking.retrieve(t.vector_chunks(), t.vector_questions())
@@ -313,7 +367,8 @@ def _question_vectors(t: Inputs) -> DataFrame:
 
 def _stored_document_chunks(t: Inputs) -> DataFrame:
     path = work_path(t.spark, "chunks")
-    tables.refresh_files(embed(t.document_chunks()), path)
+    sized = t.document_chunks().withColumn("n_tok", REGEX_COUNTER.count(F.col("content")))
+    tables.refresh_files(embed(sized), path)
     return tables.spread(tables.read_files(t.spark, path))
 
 
@@ -348,6 +403,17 @@ def ann_exact(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def ann_bounded(t: Inputs) -> DataFrame:
+    """The nearest, through cells whose radii show when to stop."""
+    centres = ivf.fit_centres(t.vector_chunks(), BOUNDED_LISTS)
+    indexed = _lists(t, centres)
+    found = bounded_topk(indexed, t.vector_questions(), measure_cells(indexed, centres), first=8)
+    return found.hits.select(
+        "qid", "chunk_id", "source_id", "d", F.round(vectors.score(F.col("d")), 6).alias("score"), "rank"
+    )
+
+
 @query
 def ann_few_probes(t: Inputs) -> DataFrame:
     return _ann_few(t, fixed.TOP_K)
@@ -387,13 +453,13 @@ def context_blocks(t: Inputs) -> DataFrame:
 
 @query
 def context_pack(t: Inputs) -> DataFrame:
-    return contexts_for(_stored_document_chunks(t), _question_vectors(t))
+    return contexts_for(_stored_document_chunks(t), _question_vectors(t), counts="n_tok")
 
 
 @query
 def context_pack_wide(t: Inputs) -> DataFrame:
     return contexts_for(
-        _stored_document_chunks(t), _question_vectors(t), max_context=WIDE_CONTEXT
+        _stored_document_chunks(t), _question_vectors(t), max_context=WIDE_CONTEXT, counts="n_tok"
     )
 
 
@@ -467,7 +533,7 @@ def answer_pipeline(t: Inputs) -> DataFrame:
         max_tokens=CHUNK_TOKENS, topics=TOPICS,
     )
     return answer_table(
-        tables.spread(chunks), _questions(t), max_context=PIPELINE_CONTEXT
+        tables.spread(chunks), _questions(t), max_context=PIPELINE_CONTEXT, counts="n_tok"
     ).select(
         "qid", "context", "reply", "request"
     )
@@ -480,7 +546,7 @@ def ticket_answers(t: Inputs) -> DataFrame:
         documents.ticket_documents(*_ticket_tables(t)), work_path(t.spark, "tickets")
     )
     return answer_table(
-        tables.spread(chunks), _questions(t), max_context=PIPELINE_CONTEXT
+        tables.spread(chunks), _questions(t), max_context=PIPELINE_CONTEXT, counts="n_tok"
     ).select("qid", "context", "reply", "request")
 
 
@@ -491,7 +557,7 @@ def question_stream_answers(t: Inputs) -> DataFrame:
     _questions(t).write.json(source)
     stream = answer_stream(
         question_stream(t.spark, source), _stored_document_chunks(t), out, state,
-        available_now=True, max_context=WIDE_CONTEXT,
+        available_now=True, max_context=WIDE_CONTEXT, counts="n_tok",
     )
     stream.awaitTermination()
     return t.spark.read.parquet(out).select("qid", "prompt", "reply")

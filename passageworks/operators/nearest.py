@@ -263,9 +263,9 @@ def nearest(
         bounds = None
         if seed_fraction > 0 and routes is None:
             seed = _search_broadcast(source.sample(seed_fraction, seed=17), block, k, schema, None)
-            bounds = _kth_distances(_ranked(seed, keys, k, thin=_many_tasks(source)), block, k)
+            bounds = _kth_distances(ranked(seed, keys, k, thin=_many_tasks(source)), block, k)
         found = _search_broadcast(source, block, k, schema, bounds)
-    result = _ranked(found, keys, k, thin=_many_tasks(source))
+    result = ranked(found, keys, k, thin=_many_tasks(source))
     result = result.withColumnRenamed("_carried", carry) if carry else result.drop("_carried")
     if block is not None and block.lanes * k <= MAX_BROADCAST_ROWS:
         return F.broadcast(result)  # a hint for a later join, and proven small
@@ -278,7 +278,7 @@ def _many_tasks(source: DataFrame) -> bool:
     return size > THIN_BYTES
 
 
-def _ranked(found: DataFrame, keys: Sequence[str], k: int, thin: bool) -> DataFrame:
+def ranked(found: DataFrame, keys: Sequence[str], k: int, thin: bool = False) -> DataFrame:
     """Rank the rows of all tasks and keep `k` per key.
 
     A key has up to k rows from every task.  When tasks are many, the rows are

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passageworks.functions import fixed
-from passageworks.functions.vectors import TIE_DECIMALS, score
+from passageworks.functions.vectors import TIE_DECIMALS, l2_distance, score
 from passageworks.operators.ivf import Lists, ann_topk
 from passageworks.operators.nearest import MAX_QUESTIONS, Questions, gather, nearest
 
@@ -83,6 +83,33 @@ def group_chunks(
     return hits.withColumn("score", score(F.col("d")))
 
 
+def lateral_chunks(chunks: DataFrame, asked: DataFrame, top_k: int = fixed.TOP_K) -> DataFrame:
+    """(qid, source_id, chunk_id, d, rank): for each (qid, source_id, embedding) the nearest
+    `top_k` chunks of that source, as a correlated subquery with order and limit.
+
+    A question is asked once of a source.  The optimizer turns the subquery into equi-joins and
+    a limited window: no Python, and questions never meet chunks of other sources.  Good
+    for few questions of each source; `group_chunks` does many at once.
+    """
+    outer = asked.select("qid", F.col("source_id").cast("long").alias("source_id"))
+    points = asked.select(
+        F.col("qid").alias("of"), F.col("source_id").cast("long").alias("own"), F.col("embedding").alias("point")
+    )
+    inner = chunks.select(F.col("id").cast("long").alias("chunk_id"), F.col("source_id").cast("long").alias("own"), "embedding")
+    # Correlated by equalities alone: a distance to an outer vector would need all pairs.
+    nearest_rows = (
+        inner.join(points, "own")
+        .filter((F.col("of") == F.col("qid").outer()) & (F.col("own") == F.col("source_id").outer()))
+        .select("chunk_id", F.round(l2_distance(F.col("embedding"), F.col("point")), TIE_DECIMALS).alias("d"))
+        .orderBy("d", "chunk_id")
+        .limit(top_k)
+    )
+    order = W.partitionBy("qid", "source_id").orderBy("d", "chunk_id")
+    return outer.lateralJoin(nearest_rows).select(
+        "qid", "source_id", "chunk_id", "d", F.row_number().over(order).alias("rank")
+    )
+
+
 def retrieve(
     chunks: DataFrame,
     questions: DataFrame,

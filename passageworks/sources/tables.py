@@ -114,6 +114,36 @@ def refresh_table(df: DataFrame, name: str) -> None:
     df.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
 
 
+def switch_table(df: DataFrame, name: str, folder: str) -> str:
+    """Replace the rows of an existing table by files of their own; returns their path.
+
+    The new files are written beside the old ones, under `folder`, and then the catalog entry
+    is set to them in one step.  Readers find the old rows until then and the new ones after;
+    a failure before leaves the table as it was.  Old files stay for readers that began
+    before; `drop_version` removes them.
+    """
+    spark = df.sparkSession
+    path = f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
+    df.select(*spark.table(name).columns).write.parquet(path)
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+    spark.catalog.refreshTable(name)
+    return path
+
+
+def location(spark: SparkSession, name: str) -> str:
+    """Where a table's files are."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Location'")
+    return rows.first()["data_type"]
+
+
+def drop_version(spark: SparkSession, name: str, path: str) -> None:
+    """Delete files that `name` had before a switch; those it has now are an error."""
+    if location(spark, name).rstrip("/").endswith(path.rstrip("/").rsplit("/", 1)[-1]):
+        raise ValueError(f"{name} still reads {path}")
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def analyze(spark: SparkSession, name: str) -> None:
     """Refresh row count, size and column statistics for the optimizer."""
     atomic = [

@@ -29,11 +29,11 @@ def test_every_query_of_the_library_has_sql():
     assert set(OWN) <= set(ORACLES)
 
 
-def test_recall_is_a_share(spark):
+def test_recall_with_few_probes(spark):
     rows = QUERIES["ann_recall"](spark, FOLDER).collect()
     shares = [r.recall for r in rows]
     assert rows and all(0 <= s <= 1 for s in shares)
-    assert sum(shares) / len(shares) > 0.4
+    assert sum(shares) / len(shares) >= 0.9
 
 
 def test_entry(spark):

@@ -260,12 +260,27 @@ def test_packing_hits_equals_packing_blocks(spark, budget):
         (q, 40 + g, g, r, f"{words} {q} {g} " * (q + r))
         for q in range(1, 5) for g in (1, 2) for r in range(1, q + g)
     ]
-    hits = spark.createDataFrame(
-        rows, "qid long, source_id long, group_rank int, rank int, content string"
+    shown = spark.createDataFrame(
+        [(*r, i) for i, r in enumerate(rows)],
+        "qid long, source_id long, group_rank int, rank int, content string, chunk_id long",
+    )
+    counted = shown.select(
+        F.col("chunk_id").alias("id"), "content", REGEX_COUNTER.count(F.col("content")).alias("n_tok")
     )
-    by_block = packing.pack_contexts(packing.group_blocks(hits), budget, 0)
-    by_hit = packing.pack_hits(hits, budget, 0)
-    assert sorted(by_hit.collect()) == sorted(by_block.collect())
+    by_block = packing.pack_contexts(packing.group_blocks(shown), budget, 0)
+    for counts in (None, "n_tok"):
+        by_hit = packing.pack_hits(shown.drop("content"), counted, budget, 0, counts=counts)
+        assert sorted(by_hit.collect()) == sorted(by_block.collect())
+
+
+def test_what_fits_is_found_without_texts(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "a b", 2)], "id long, content string, n_tok int")
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    sizes = spark.read.parquet(str(tmp_path / "chunks")).select(F.col("id").alias("chunk_id"), "n_tok")
+    hits = spark.createDataFrame([(7, 42, 1, 1, 1)], "qid long, source_id long, group_rank int, rank int, chunk_id long")
+    fitted = packing.within_budget(hits, sizes)
+    assert "content" not in fitted._jdf.queryExecution().executedPlan().toString()
+    assert [(r.qid, r.keep) for r in fitted.collect()] == [(7, True)]
 
 
 def test_merging_in_two_steps(cloud, monkeypatch):
