@@ -17,10 +17,11 @@ the texts.  What it leaves apart is then settled exactly: shingles have one orde
 ones first, and two texts that are linked share one of the first n - ceil(0.8 n) + 1 of
 theirs.  All pairs of different classes that meet in such a shingle are aligned, but for
 those whose lengths or places there leave too few to match; no bucket is cut.  Pairs of one
-class are never formed.  A shingle that is frequent is dropped if all its texts are of one
-class; otherwise its texts are dealt into blocks, and every two blocks meet in a task.
+class are never formed: shingles whose texts are all of one class are dropped before any
+texts meet, and so are those of a single text.  The texts of a frequent shingle are dealt into
+blocks, and every two blocks meet in a task.
 
-Before a pair's shingles are moved, its prints are compared: a print has the parity of the
+Where texts meet, and before a pair's shingles are moved, prints are compared: a print has the parity of the
 labelled shingles in each of some slots of their hashes, about two for each shingle.  Slots
 that differ cannot outnumber the shingles that do, so a pair with more of them than a link
 may have unmatched shingles is no link, and nothing else is dropped.
@@ -181,15 +182,20 @@ def differing(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
+def _allowed(a: pa.Array, b: pa.Array, both: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the prints of pairs, of so many shingles in `both` texts, allow a link."""
+    return differing(a, b) <= both * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def meeting(
     group: np.ndarray, side: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray,
-    similarity: float = SIMILARITY,
+    similarity: float = SIMILARITY, prints: pa.Array | None = None,
 ) -> Iterator[np.ndarray]:
     """Pairs (a, b) of different roots that can be links, of rows sorted by group, side and root.
 
     All rows of side 0 in a group meet; those of side 1 meet those of side 2.  Texts of n and m
     shingles that are linked have `need` of them in common at least; before their first common
-    one all are unmatched.
+    one all are unmatched.  With the rows' `prints`, pairs whose prints allow no link are left out.
     """
     rows = len(group)
     if not rows:
@@ -210,7 +216,11 @@ def meeting(
         need = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
         met = (root[i] != root[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
         met &= n[i] + n[j] - place[i] - place[j] >= 2 * need
-        a, b = node[i[met]], node[j[met]]
+        i, j = i[met], j[met]
+        if prints is not None:
+            met = _allowed(prints.take(pa.array(i)), prints.take(pa.array(j)), n[i] + n[j], similarity)
+            i, j = i[met], j[met]
+        a, b = node[i], node[j]
         if len(a):
             held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             size += len(a)
@@ -281,8 +291,9 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(labels.view(np.int64))], ["label"])
 
 
-def _unfolded(hot: bool, level: int):
-    """One row for each shingle of the prefixes that is, or is not, of `level` or more."""
+def _unfolded(hot: bool | None, level: int, placed: bool):
+    """One row for each shingle of the prefixes that is, or is not, of `level` or more; `hot` None
+    for all.  Either all that a meeting needs, or the root alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "prefix", WORK_BYTES):
@@ -290,33 +301,37 @@ def _unfolded(hot: bool, level: int):
             sizes = np.array([len(x) for x in packed], np.int64)
             of, place = np.repeat(np.arange(len(sizes)), sizes), ragged(np.zeros(len(sizes), np.int64), sizes)
             token = np.concatenate(packed) if packed else np.empty(0, np.int64)
-            taken = np.flatnonzero((token >> 56 >= level) == hot)
-            of = of[taken]
+            if hot is not None:
+                taken = np.flatnonzero((token >> 56 >= level) == hot)
+                token, of, place = token[taken], of[taken], place[taken]
             node, root, n = (batch.column(c).to_numpy()[of] for c in ("node", "root", "n"))
-            columns = [token[taken], node, root, n.astype(np.int32), place[taken].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "root", "n", "place"])
+            columns = {"token": token, "root": root}
+            if placed:
+                columns = {"token": token, "node": node, "root": root, "n": n.astype(np.int32), "place": place.astype(np.int32)}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
     return run
 
 
 def _meeting(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 7
+        held, prints = [np.empty(0, np.int64)] * 7, pa.array([], pa.binary())
 
         def pairs(upto: int) -> Iterator[pa.RecordBatch]:
             token, cell, *rest = (c[:upto] for c in held)
             new = (np.diff(token, prepend=token[:1]) != 0) | (np.diff(cell, prepend=cell[:1]) != 0)
-            for met in meeting(np.cumsum(new), *rest, similarity=similarity):
+            for met in meeting(np.cumsum(new), *rest, similarity=similarity, prints=prints):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in met], ["a", "b"])
 
         for batch in batches:
             held = [np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate(held)]
+            prints = pa.concat_arrays([prints, batch.column(7)])
             # The last group may go on in the next batch.
             same = (held[0] == held[0][-1:]) & (held[1] == held[1][-1:])
             cut = int(np.argmax(same)) if len(same) else 0
             if cut:
                 yield from pairs(cut)
-                held = [c[cut:] for c in held]
+                held, prints = [c[cut:] for c in held], prints[cut:]
         yield from pairs(len(held[0]))
 
     return run
@@ -327,9 +342,8 @@ def _alike(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = (batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()).astype(np.float64)
-            spare = both * (1 - similarity) / (1 + similarity) + 1e-6
-            kept = differing(batch.column("a_print"), batch.column("b_print")) <= spare
+            both = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+            kept = _allowed(batch.column("a_print"), batch.column("b_print"), both, similarity)
             yield batch.select(["a", "b"]).filter(pa.array(kept))
 
     return run
@@ -415,37 +429,52 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """(token, ways): shingles of texts of different roots, and into how many blocks they go; stored."""
+    def tokens(hot: bool) -> DataFrame:
+        return rows.mapInArrow(_unfolded(hot, HOT_LEVEL, False), "token long, root long")
+
+    # Frequent ones are combined before the shuffle; the others hardly repeat in a task.
+    parts = (
+        some.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows"))
+        for some in (tokens(True), tokens(False).repartition("token"))
+    )
+    hot, cold = (p.where("lo < hi").select("token", F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("ways")) for p in parts)
+    return stored(hot.unionByName(cold), "shared-shingles")
+
+
 def apart(texts: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """All pairs (a, b) of nodes of different roots that can be links."""
     rows = texts.where("n > 0").join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "n", "prefix"
     )
+    shared = shared_tokens(rows)
     schema = "token long, node long, root long, n int, place int"
-    hot, cold = (rows.mapInArrow(_unfolded(h, HOT_LEVEL), schema) for h in (True, False))
-    mixed = (
-        hot.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows"))
-        .where("lo < hi").select("token", F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("ways"))
-    )
+    met = rows.mapInArrow(_unfolded(None, HOT_LEVEL, True), schema).join(shared, "token")
+    met = met.join(texts.select("node", "print"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")
     # Every two blocks of a shingle have a cell of their own.
-    dealt = hot.join(mixed, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     cell = F.least("own", "other").cast("long") * F.col("ways") + F.greatest("own", "other")
-    columns = ["token", "cell", "side", "node", "root", "n", "place"]
-    tokens = (
-        dealt.withColumns({"cell": cell, "side": side}).select(*columns)
-        .unionByName(cold.withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(0)}).select(*columns))
+    dealt = dealt.withColumns({"cell": cell, "side": side}).select(
+        "token", "cell", "side", "node", "root", "n", "place", "print"
     )
-    met = tokens.repartition("token", "cell").sortWithinPartitions("token", "cell", "side", "root")
-    return met.mapInArrow(_meeting(similarity), "a long, b long").distinct()
+    groups = dealt.repartition("token", "cell").sortWithinPartitions("token", "cell", "side", "root")
+    return groups.mapInArrow(_meeting(similarity), "a long, b long").distinct()
+
+
+def alike(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose prints allow a link."""
+    prints = texts.select("node", "n", "print")
+    a, b = (prints.toDF(x, f"{x}_n", f"{x}_print") for x in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").mapInArrow(_alike(similarity), "a long, b long")
 
 
 def links(own: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified ones (a, b, similarity) of pairs of nodes; stored."""
     spark = own.sparkSession
-    prints = texts.select("node", "n", "print")
-    a, b = (prints.toDF(x, f"{x}_n", f"{x}_print") for x in ("a", "b"))
-    likely, likely_path = stored_at(pairs.join(a, "a").join(b, "b").mapInArrow(_alike(similarity), "a long, b long"), "near-pairs")
+    likely, likely_path = stored_at(pairs, "near-pairs")
     needed = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = texts.join(needed, "node").select("node", "text_key", "rep_id")
     held = (
@@ -466,7 +495,7 @@ def links(own: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float
 def text_classes(own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per distinct text: text_key, rep_id, root (a node) and class_id; stored."""
     texts = distinct_texts(own, similarity)
-    roots = components(links(own, texts, candidates(texts, similarity), similarity))
+    roots = components(links(own, texts, alike(texts, candidates(texts, similarity), similarity), similarity))
     rest = links(own, texts, apart(texts, roots, similarity), similarity)
     if not rest.isEmpty():
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -150,6 +150,7 @@ def test_frequent_shingles_in_blocks(spark, copies, monkeypatch):
     pairs = near_copies.apart(texts, none)
     found = {(r.a, r.b) for r in near_copies.links(own, texts, pairs).collect()}
     monkeypatch.setattr(near_copies, "HOT_LEVEL", 99)
+    monkeypatch.setattr(near_copies, "HOT_ROWS", 8_192)
     plain = {(r.a, r.b) for r in near_copies.links(own, texts, near_copies.apart(texts, none)).collect()}
     assert plain and found == plain
 
