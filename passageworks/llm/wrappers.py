@@ -69,6 +69,9 @@ ASIDE_WORDS = set(
     "teaser trending skip".split()
 )
 HEAD_WORDS = {"header", "topbar"}
+#: Elements that hold text and no blocks.
+TEXTS = set("h1 h2 h3 h4 h5 h6 p pre dt caption figcaption summary legend address".split())
+ID = "~"
 MAIN_WORDS = set("article articlebody post entry story main content".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>""")
@@ -140,11 +143,12 @@ def folded(kids: list[Node]) -> list[Node]:
 
 
 def label_of(tag: str, attributes: str) -> str:
-    """The tag and the words of its class, id, role and itemprop."""
+    """The tag and the words of its class, role and itemprop, and of its id behind `ID`."""
     words: dict[str, None] = {}
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
-            words |= dict.fromkeys(w.lower() for w in WORDS.findall(m[2] or m[3] or m[4] or ""))
+            mark = ID if m[1].lower() == "id" else ""
+            words |= dict.fromkeys(mark + w.lower() for w in WORDS.findall(m[2] or m[3] or m[4] or ""))
     return ".".join([tag, *words])
 
 
@@ -281,8 +285,12 @@ def role(path: Iterable[str], above: str = "open") -> str:
         return above
     inside = above == "main"
     for label in path:
-        tag, *words = label.split(".")
-        odd = not ASIDE_WORDS.isdisjoint(words)
+        tag, *found = label.split(".")
+        # What a heading or paragraph is called says what it is about, not what it is; inside
+        # an article the same goes for any id.
+        words = [] if tag in TEXTS else [w.lstrip(ID) for w in found]
+        named = [w for w in words if w in found] if inside else words
+        odd = not ASIDE_WORDS.isdisjoint(named)
         if tag in ("article", "main") and (not odd or not MAIN_WORDS.isdisjoint(words)):
             inside = True
         elif tag in ("html", "body"):

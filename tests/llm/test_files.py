@@ -219,3 +219,15 @@ def test_copies_of_a_page_do_not_make_its_text_constant(spark):
     mixed = [("mixed", "<body><h2>menu</h2><p>same</p><table><td>own</td></table></body>")] * 4
     mixed += [("mixed", f"<body><h2>menu</h2><p>text {i}</p></body>") for i in range(3)]
     assert texts_of(spark, mixed) == ["same\nown"] * 4 + [f"text {i}" for i in range(3)]
+
+
+def test_headings_named_after_their_text_stay(spark):
+    """Ids made of heading texts, and class words of paragraphs, are no reason to drop them."""
+    page = (
+        "<body><div id='comments-nav'>menu</div><article class='post'><h1 id='notice-of-change'>Title {0}</h1>"
+        "<h2 id='related-work'>Related work</h2><p class='legal'>Text {0}</p><section id='comment-on-forms'><h3 id='share'>Share</h3>"
+        "<p>Of {0}</p></section><div class='related'>Also {0}</div></article><div class='footer'>end</div></body>"
+    )
+    rows = [(i, "http://h.example/%d" % i, page.format(f"n{i}")) for i in range(4)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title n{i}\nRelated work\nText n{i}\nShare\nOf n{i}" for i in range(4)}
