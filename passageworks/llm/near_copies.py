@@ -17,11 +17,11 @@ the texts.  What it leaves apart is then settled exactly: shingles have one orde
 ones first, and two texts that are linked share one of the first n - ceil(0.8 n) + 1 of
 theirs.  All pairs of different classes that meet in such a shingle are aligned, but for
 those whose lengths or places there leave too few to match; no bucket is cut.  Pairs of one
-class are never formed: shingles whose texts are all of one class are dropped before any
-texts meet, and so are those of a single text.  The texts of a frequent shingle are dealt into
-blocks, and every two blocks meet in a task.
+class are never formed.  A shingle that is frequent is dropped if all its texts are of one
+class; otherwise its texts are dealt into blocks, and every two blocks meet in a task.
+Texts that have a partner there by lengths and places meet once more, with their prints.
 
-Where texts meet, and before a pair's shingles are moved, prints are compared: a print has the parity of the
+Prints are compared before a pair's shingles are moved: a print has the parity of the
 labelled shingles in each of some slots of their hashes, about two for each shingle.  Slots
 that differ cannot outnumber the shingles that do, so a pair with more of them than a link
 may have unmatched shingles is no link, and nothing else is dropped.
@@ -64,6 +64,8 @@ MET_AT_ONCE = 1 << 20
 PRINT_BITS = 256
 #: From this level on shingles are looked at before their texts meet, in blocks of so many texts.
 HOT_LEVEL, HOT_ROWS = 8, 8_192
+#: Columns of the rows that meet.
+MEETS = ("token", "cell", "side", "node", "root", "n", "place")
 WORD = re.compile(r"\w+")
 PLACE = np.uint64((1 << 30) - 1)
 MULTIPLIERS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -187,15 +189,14 @@ def _allowed(a: pa.Array, b: pa.Array, both: np.ndarray, similarity: float) -> n
     return differing(a, b) <= both * (1 - similarity) / (1 + similarity) + 1e-6
 
 
-def meeting(
-    group: np.ndarray, side: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray,
-    similarity: float = SIMILARITY, prints: pa.Array | None = None,
-) -> Iterator[np.ndarray]:
-    """Pairs (a, b) of different roots that can be links, of rows sorted by group, side and root.
+def partners(
+    group: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float = SIMILARITY
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i and j of different roots that can be links, of rows sorted by group, side and root.
 
     All rows of side 0 in a group meet; those of side 1 meet those of side 2.  Texts of n and m
     shingles that are linked have `need` of them in common at least; before their first common
-    one all are unmatched.  With the rows' `prints`, pairs whose prints allow no link are left out.
+    one all are unmatched.
     """
     rows = len(group)
     if not rows:
@@ -209,21 +210,29 @@ def meeting(
     fan = group_end - run_end
     ends = np.cumsum(fan)
     cuts = np.unique(np.searchsorted(ends, np.arange(MET_AT_ONCE, ends[-1] + MET_AT_ONCE, MET_AT_ONCE), "left") + 1)
-    held, size = [], 0
     for lo, hi in zip([0, *cuts.tolist()], cuts.tolist()):
         i = np.repeat(np.arange(lo, min(hi, rows)), fan[lo:hi])
         j = ragged(run_end[lo:hi], fan[lo:hi])
         need = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
         met = (root[i] != root[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
         met &= n[i] + n[j] - place[i] - place[j] >= 2 * need
-        i, j = i[met], j[met]
+        if met.any():
+            yield i[met], j[met]
+
+
+def meeting(
+    group: np.ndarray, side: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray,
+    similarity: float = SIMILARITY, prints: pa.Array | None = None,
+) -> Iterator[np.ndarray]:
+    """Pairs (a, b) of the nodes of `partners`; with `prints`, only those whose prints allow a link."""
+    held, size = [], 0
+    for i, j in partners(group, side, root, n, place, similarity):
         if prints is not None:
             met = _allowed(prints.take(pa.array(i)), prints.take(pa.array(j)), n[i] + n[j], similarity)
             i, j = i[met], j[met]
         a, b = node[i], node[j]
-        if len(a):
-            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-            size += len(a)
+        held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        size += len(a)
         if size > MET_AT_ONCE:
             yield np.unique(np.concatenate(held, axis=1), axis=1)
             held, size = [], 0
@@ -291,9 +300,8 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(labels.view(np.int64))], ["label"])
 
 
-def _unfolded(hot: bool | None, level: int, placed: bool):
-    """One row for each shingle of the prefixes that is, or is not, of `level` or more; `hot` None
-    for all.  Either all that a meeting needs, or the root alone."""
+def _unfolded(hot: bool, level: int):
+    """One row for each shingle of the prefixes that is, or is not, of `level` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "prefix", WORK_BYTES):
@@ -301,38 +309,58 @@ def _unfolded(hot: bool | None, level: int, placed: bool):
             sizes = np.array([len(x) for x in packed], np.int64)
             of, place = np.repeat(np.arange(len(sizes)), sizes), ragged(np.zeros(len(sizes), np.int64), sizes)
             token = np.concatenate(packed) if packed else np.empty(0, np.int64)
-            if hot is not None:
-                taken = np.flatnonzero((token >> 56 >= level) == hot)
-                token, of, place = token[taken], of[taken], place[taken]
+            taken = np.flatnonzero((token >> 56 >= level) == hot)
+            of = of[taken]
             node, root, n = (batch.column(c).to_numpy()[of] for c in ("node", "root", "n"))
-            columns = {"token": token, "root": root}
-            if placed:
-                columns = {"token": token, "node": node, "root": root, "n": n.astype(np.int32), "place": place.astype(np.int32)}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+            columns = [token[taken], node, root, n.astype(np.int32), place[taken].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "root", "n", "place"])
 
     return run
 
 
-def _meeting(similarity: float):
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """Rows of complete groups (token, cell), as a table and as group, side, node, root, n, place."""
+
+    def columns(table: pa.Table) -> list[np.ndarray]:
+        token, cell, *rest = (table[c].to_numpy().astype(np.int64) for c in MEETS)
+        return [np.cumsum((np.diff(token, prepend=token[:1]) != 0) | (np.diff(cell, prepend=cell[:1]) != 0)), *rest]
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if not held.num_rows:
+            continue
+        # The last group may go on in the next batch.
+        found = columns(held)
+        cut = int(np.searchsorted(found[0], found[0][-1]))
+        if cut:
+            yield held.slice(0, cut).combine_chunks(), [c[:cut] for c in found]
+            held = held.slice(cut).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), columns(held)
+
+
+def _partnered(similarity: float):
+    """The rows that have a partner."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, prints = [np.empty(0, np.int64)] * 7, pa.array([], pa.binary())
+        for table, (group, side, _, root, n, place) in _whole_groups(batches):
+            kept = np.zeros(len(group), bool)
+            for i, j in partners(group, side, root, n, place, similarity):
+                kept[i] = kept[j] = True
+            yield from table.filter(pa.array(kept)).to_batches()
 
-        def pairs(upto: int) -> Iterator[pa.RecordBatch]:
-            token, cell, *rest = (c[:upto] for c in held)
-            new = (np.diff(token, prepend=token[:1]) != 0) | (np.diff(cell, prepend=cell[:1]) != 0)
-            for met in meeting(np.cumsum(new), *rest, similarity=similarity, prints=prints):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in met], ["a", "b"])
+    return run
 
-        for batch in batches:
-            held = [np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate(held)]
-            prints = pa.concat_arrays([prints, batch.column(7)])
-            # The last group may go on in the next batch.
-            same = (held[0] == held[0][-1:]) & (held[1] == held[1][-1:])
-            cut = int(np.argmax(same)) if len(same) else 0
-            if cut:
-                yield from pairs(cut)
-                held, prints = [c[cut:] for c in held], prints[cut:]
-        yield from pairs(len(held[0]))
+
+def _meeting(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, columns in _whole_groups(batches):
+            prints = table["print"].combine_chunks()
+            prints = prints.chunk(0) if isinstance(prints, pa.ChunkedArray) else prints
+            for met in meeting(*columns, similarity=similarity, prints=prints):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in met], ["a", "b"])
 
     return run
 
@@ -429,39 +457,33 @@ def candidates(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
-def shared_tokens(rows: DataFrame) -> DataFrame:
-    """(token, ways): shingles of texts of different roots, and into how many blocks they go; stored."""
-    def tokens(hot: bool) -> DataFrame:
-        return rows.mapInArrow(_unfolded(hot, HOT_LEVEL, False), "token long, root long")
-
-    # Frequent ones are combined before the shuffle; the others hardly repeat in a task.
-    parts = (
-        some.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows"))
-        for some in (tokens(True), tokens(False).repartition("token"))
-    )
-    hot, cold = (p.where("lo < hi").select("token", F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("ways")) for p in parts)
-    return stored(hot.unionByName(cold), "shared-shingles")
-
-
 def apart(texts: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """All pairs (a, b) of nodes of different roots that can be links."""
     rows = texts.where("n > 0").join(roots, "node", "left").select(
         "node", F.coalesce("root", "node").alias("root"), "n", "prefix"
     )
-    shared = shared_tokens(rows)
     schema = "token long, node long, root long, n int, place int"
-    met = rows.mapInArrow(_unfolded(None, HOT_LEVEL, True), schema).join(shared, "token")
-    met = met.join(texts.select("node", "print"), "node")
+    hot, cold = (rows.mapInArrow(_unfolded(h, HOT_LEVEL), schema) for h in (True, False))
+    mixed = (
+        hot.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows"))
+        .where("lo < hi").select("token", F.ceil(F.col("rows") / HOT_ROWS).cast("int").alias("ways"))
+    )
     own = F.pmod(F.xxhash64("node"), F.col("ways")).cast("int")
     # Every two blocks of a shingle have a cell of their own.
-    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    dealt = hot.join(mixed, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     cell = F.least("own", "other").cast("long") * F.col("ways") + F.greatest("own", "other")
-    dealt = dealt.withColumns({"cell": cell, "side": side}).select(
-        "token", "cell", "side", "node", "root", "n", "place", "print"
+    tokens = (
+        dealt.withColumns({"cell": cell, "side": side}).select(*MEETS)
+        .unionByName(cold.withColumns({"cell": F.lit(0).cast("long"), "side": F.lit(0)}).select(*MEETS))
     )
-    groups = dealt.repartition("token", "cell").sortWithinPartitions("token", "cell", "side", "root")
-    return groups.mapInArrow(_meeting(similarity), "a long, b long").distinct()
+
+    def grouped(some: DataFrame) -> DataFrame:
+        return some.repartition("token", "cell").sortWithinPartitions("token", "cell", "side", "root")
+
+    met = grouped(tokens).mapInArrow(_partnered(similarity), tokens.schema)
+    printed = met.join(texts.select("node", "print"), "node").select(*MEETS, "print")
+    return grouped(printed).mapInArrow(_meeting(similarity), "a long, b long").distinct()
 
 
 def alike(texts: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
