@@ -13,8 +13,9 @@ log(1 / that number) over the segments below one.  A logistic curve, fitted on t
 documents, turns the evidence into the score.
 
 The classifier is fitted on a sample of the labelled rows, `TRAIN_ROWS` of them at
-most (about), and has `MODEL_UNITS` words and prefixes at most, those with the most
-evidence; both bound what is broadcast.  Every document is scored whole.
+most (about), which bounds what is broadcast: the words and prefixes of these rows whose
+weight is not that of their longest shorter prefix.  No other unit changes a score.  One
+function splits texts for fitting and for scoring.  Every document is scored whole.
 
 Defined cases: null and empty texts have no token and get the score of no evidence;
 ids with contradicting labels count as toxic; null ids or labels train nothing; without
@@ -39,7 +40,6 @@ from passageworks.llm.columns import picked, whole
 from passageworks.session import ship_package, stored
 
 TRAIN_ROWS = 50_000
-MODEL_UNITS = 300_000
 PREFIXES = (3, 4, 5, 6)
 PRIOR, CAUTION, DRIFT = 1.0, 1.65, 0.3
 #: Counts from which words, and distinct words from which prefixes, are known.
@@ -48,7 +48,6 @@ MAX_LAMBDA = 3.0
 PREDICT_FROM = 0.7
 WORK_BYTES = 4 << 20
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST = 40
 
 
 @dataclass
@@ -61,15 +60,24 @@ class Model:
     slope: float = 0.0
     intercept: float = -math.inf
 
+    def stem(self, word: str) -> float:
+        """Weight of the word's longest known prefix, 0 without one."""
+        for n in reversed(PREFIXES):
+            if len(word) >= n:
+                found = self.weights.get("^" + word[:n])
+                if found is not None:
+                    return found
+        return 0.0
+
+    def learn(self, unit: str, weight: float) -> None:
+        """Keep a unit's weight unless it has it anyway; shorter prefixes come before longer
+        ones, and prefixes before words."""
+        if weight != self.stem(unit.removeprefix("^")):
+            self.weights[unit] = weight
+
     def token(self, word: str) -> float:
         found = self.weights.get(word)
-        if found is None:
-            for n in reversed(PREFIXES):
-                if len(word) >= n:
-                    found = self.weights.get("^" + word[:n])
-                    if found is not None:
-                        break
-        return (found or 0.0) - DRIFT
+        return (self.stem(word) if found is None else found) - DRIFT
 
 
 class Memo(dict):
@@ -87,7 +95,7 @@ class Memo(dict):
 
 
 def words(text: str) -> list[str]:
-    return [w[:LONGEST] for w in WORD.findall(text.lower())]
+    return WORD.findall(text.lower())
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -121,7 +129,7 @@ def probability(model: Model, found: float) -> float:
 
 
 def log_odds(counts: DataFrame, least: int) -> DataFrame:
-    """(unit, weight, z) of rows (unit, toxic, clean) by their shares of all counts.
+    """(unit, weight) of rows (unit, toxic, clean) by their shares of all counts.
 
     Units with fewer counts than `least` are left out; they count for the shares only
     where one of the classes has no others.
@@ -131,13 +139,13 @@ def log_odds(counts: DataFrame, least: int) -> DataFrame:
     found = [float(x or 0) for x in counts.agg(*sums).first()]
     n1, n0 = found[:2] if all(found[:2]) else found[2:]
     if not n1 or not n0:
-        return counts.select("unit", F.lit(0.0).alias("weight"), F.lit(0.0).alias("z")).limit(0)
+        return counts.select("unit", F.lit(0.0).alias("weight")).limit(0)
     a1, a0 = PRIOR * n1 / (n1 + n0), PRIOR * n0 / (n1 + n0)
     y1, y0 = F.col("toxic") + a1, F.col("clean") + a0
     odds = F.log(y1 / (n1 + PRIOR - y1)) - F.log(y0 / (n0 + PRIOR - y0))
     error = F.sqrt(1 / y1 + 1 / y0)
     weight = F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - CAUTION * error)
-    return counts.where(known).select("unit", weight.alias("weight"), (odds / error).alias("z"))
+    return counts.where(known).select("unit", weight.alias("weight"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int) -> DataFrame:
@@ -154,22 +162,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, rows: in
     return stored(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-train")
 
 
-def unit_weights(train: DataFrame) -> dict[str, float]:
-    tokens = F.regexp_extract_all(F.lower(whole(F.col("text"))), F.lit(r"[^\W\d_]+".replace(r"\W", r"\P{L}")), F.lit(0))
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, left, seen) of training rows; `seen` has bit 1 for toxic and bit 2 for clean ones."""
+    for batch in slices(batches, "text", WORK_BYTES):
+        seen: dict[tuple[str, str], int] = {}
+        for text, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic"))):
+            found = words(text or "")
+            bit = 1 if toxic else 2
+            for pair in set(zip(found, ["", *found])):
+                seen[pair] = seen.get(pair, 0) | bit
+        units, lefts = zip(*seen) if seen else ((), ())
+        columns = [pa.array(units, pa.string()), pa.array(lefts, pa.string()), pa.array(seen.values(), pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["unit", "left", "seen"])
+
+
+def learn_units(model: Model, train: DataFrame) -> None:
+    """Give the model the weights of the training rows' words and prefixes."""
     pairs = (
-        train.select(
-            F.transform(tokens, lambda w: F.substring(w, 1, LONGEST)).alias("w"), "toxic"
-        )
-        .select(
-            F.explode(F.arrays_zip(F.col("w"), F.concat(F.array(F.lit("")), F.col("w")).alias("left"))).alias("p"),
-            "toxic",
-        )
-        .select(F.col("p.w").alias("unit"), F.col("p.left").alias("left"), "toxic")
-        .where("unit is not null")
-        .groupBy("unit", "left").agg(F.max("toxic").alias("any_toxic"), F.min("toxic").alias("all_toxic"))
+        train.mapInArrow(_pairs, "unit string, left string, seen int")
+        .groupBy("unit", "left").agg(F.bit_or("seen").alias("seen"))
     )
     counts = pairs.groupBy("unit").agg(
-        F.sum("any_toxic").alias("toxic"), F.sum(1 - F.col("all_toxic")).alias("clean")
+        F.count_if(F.col("seen").bitwiseAND(1) > 0).alias("toxic"),
+        F.count_if(F.col("seen").bitwiseAND(2) > 0).alias("clean"),
     )
     counts = stored(counts, "toxic-words")
     prefixes = (
@@ -182,9 +197,10 @@ def unit_weights(train: DataFrame) -> dict[str, float]:
         .groupBy(F.concat(F.lit("^"), "prefix").alias("unit"))
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
-    both = log_odds(counts, MIN_SEEN).unionByName(log_odds(prefixes, MIN_STEM))
-    chosen = both.orderBy(F.abs("z").desc(), "unit").limit(MODEL_UNITS)
-    return {r["unit"]: r["weight"] for r in chosen.toLocalIterator()}
+    # Rows of `train` are bounded, and so are their words; one partition is held at a time.
+    for table in (log_odds(prefixes, MIN_STEM).orderBy(F.length("unit")), log_odds(counts, MIN_SEEN)):
+        for row in table.toLocalIterator():
+            model.learn(row["unit"], row["weight"])
 
 
 def _traits(model):
@@ -255,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAIN_
     model = Model()
     if len(train.select("toxic").distinct().take(2)) < 2:
         return model
-    model.weights = unit_weights(train)
+    learn_units(model, train)
     shared = spark.sparkContext.broadcast(model)
     schema = "toxic int, n long, best double, segments array<double>, values array<double>, counts array<long>"
     traits = stored(train.mapInArrow(_traits(shared), schema), "toxic-traits")

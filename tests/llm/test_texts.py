@@ -305,3 +305,59 @@ def test_toxicity_learns_words_and_stems_from_rows_that_are_not_held_out(spark):
     none = toxicity.score(docs, marks.limit(0), held_out=held)
     assert {x.score for x in none.collect()} == {0.0}
     assert toxicity.score(docs.limit(0), marks, held_out=held).count() == 0
+
+
+def brute_units(rows):
+    """Weights of all words and prefixes, none left out, by the stated formula."""
+    left = defaultdict(set)
+    for text, toxic in rows:
+        found = toxicity.words(text or "")
+        for pair in zip(found, ["", *found]):
+            left[pair].add(bool(toxic))
+    counts = defaultdict(lambda: [0, 0])
+    for (word, _), seen in left.items():
+        counts[word][0] += True in seen
+        counts[word][1] += False in seen
+    stems = defaultdict(lambda: [0, 0])
+    for word, (bad, good) in counts.items():
+        for n in toxicity.PREFIXES:
+            if len(word) >= n:
+                stems["^" + word[:n]][0] += bad > 0
+                stems["^" + word[:n]][1] += good > 0
+    out = {}
+    for table, least in ((counts, toxicity.MIN_SEEN), (stems, toxicity.MIN_STEM)):
+        known = {u: c for u, c in table.items() if sum(c) >= least}
+        n1, n0 = (sum(c[i] for c in known.values()) for i in (0, 1))
+        if not n1 or not n0:
+            n1, n0 = (sum(c[i] for c in table.values()) for i in (0, 1))
+        a1, a0 = toxicity.PRIOR * n1 / (n1 + n0), toxicity.PRIOR * n0 / (n1 + n0)
+        for unit, (bad, good) in known.items():
+            y1, y0 = bad + a1, good + a0
+            odds = np.log(y1 / (n1 + toxicity.PRIOR - y1)) - np.log(y0 / (n0 + toxicity.PRIOR - y0))
+            out[unit] = np.sign(odds) * max(0.0, abs(odds) - toxicity.CAUTION * np.sqrt(1 / y1 + 1 / y0))
+    return out
+
+
+def brute_token(weights, word):
+    units = [word, *("^" + word[:n] for n in sorted(toxicity.PREFIXES, reverse=True) if len(word) >= n)]
+    return next((weights[u] for u in units if u in weights), 0.0) - toxicity.DRIFT
+
+
+def test_toxicity_weights_are_those_of_all_units_and_whole_words(spark):
+    r = random.Random(4)
+    long = "z" * 60
+    plain, rows = words(r, 400) + ["Stra\u00dfe", "\u0130x", "\u216bi", "a1b"], []
+    for i in range(300):
+        text = [r.choice(plain) for _ in range(r.randint(5, 60))]
+        text.insert(r.randrange(5), long + ("vile" if i % 5 == 0 else "kind"))
+        rows.append((" ".join(text), int(i % 5 == 0)))
+    rows += [(None, 0), ("", 1)]
+    model = toxicity.Model()
+    toxicity.learn_units(model, spark.createDataFrame(rows, "text string, toxic int").repartition(5))
+    whole = brute_units(rows)
+    asked = {w for t, _ in rows for w in toxicity.words(t or "")} | {u[1:] + "q" for u in whole if u[0] == "^"}
+    assert len(model.weights) < len(whole)
+    for word in asked:
+        assert model.token(word) == pytest.approx(brute_token(whole, word), abs=1e-9), word
+    # Words that differ behind their fortieth letter are different words.
+    assert model.token(long + "vile") > 0 > model.token(long + "kind")
