@@ -3,8 +3,12 @@
 A text becomes its lower-cased words joined by single spaces.  Rules are regexes over
 that form; each names the keyword without which it cannot match ('spdx' for the rules of
 SPDX lines, whose ids hold no word of the names), and only rules whose keyword a text
-holds are run.  Rules come from the families below, one for each name
-and form, so their number follows the tables and not hand-copied lists.
+holds are run.  Three tables give the rules: signatures are sentences of license bodies and
+notices, SPDX ids stand for themselves in SPDX lines, and families give one rule for
+each name and form.
+
+Of equal places the first rule counts, so the specific stand before the general:
+signatures, then SPDX ids, then families.
 
 Detections are then resolved in one sweep by (start, longest, priority): one that lies
 inside a kept detection is dropped, and of two that overlap partly the one with the
@@ -84,6 +88,67 @@ FAMILIES = (
     Family("cc-by-sa", "commons", ("creative commons attribution share ?alike",), ("2 0", "3 0", "4 0")),
     Family("cc-by-nc", "commons", ("creative commons attribution non ?commercial",), ("2 0", "3 0", "4 0")),
 )
+#: Up to 20 words, as names of holders are.
+SOME = "(?:[!-\U0010ffff]+ ){1,20}?"
+#: Sentences of the public license texts as patterns over words, with the label
+#: and a word that every match holds.
+SIGNATURES = (
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("boost", "hereby", "permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software"),
+    ("ofl", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    (
+        "isc", "hereby",
+        "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided",
+    ),
+    (
+        "0bsd", "hereby",
+        "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted the software",
+    ),
+    (
+        "postgresql", "hereby",
+        "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",
+    ),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    (
+        "bsd-3", "endorse",
+        rf"neither the names? of {SOME}contributors may be used to endorse or promote products derived from this software",
+    ),
+    ("bsd-4", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2", "reproduction", "apache license version 2 0 january 2004 (?:http )?(?:https )?www apache org licenses terms and conditions for use reproduction and distribution"),
+    (
+        "apache-2", "applicable",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+    ),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    (
+        "lgpl", "redistribute",
+        "this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license",
+    ),
+    (
+        "agpl", "redistribute",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license",
+    ),
+    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "mozilla", "the contents of this file are subject to the mozilla public license version 1 [01]"),
+    ("epl", "eclipse", "the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "contents", "the contents of this file are subject to the terms of the common development and distribution license"),
+    (
+        "zlib", "liable",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable",
+    ),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("cc0", "waived", rf"to the extent possible under law {SOME}waived all copyright and related or neighbou?ring rights"),
+    ("artistic", "intent", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("python", "licensee", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+)
+#: SPDX ids and their labels.
+SPDX = {
+    "0BSD": "0bsd", "Apache-1.1": "apache-1", "Apache-2.0": "apache-2", "Artistic-1.0": "artistic", "Artistic-2.0": "artistic",
+    "BSD-2-Clause": "bsd-2", "BSD-3-Clause": "bsd-3", "BSD-4-Clause": "bsd-4", "BSL-1.0": "boost",
+    "BUSL-1.1": "busl", "CC-PDDC": "public-domain", "EUPL-1.1": "eupl", "EUPL-1.2": "eupl", "ISC": "isc",
+    "MIT-0": "mit-0", "MS-PL": "ms-pl", "MS-RL": "ms-rl", "NCSA": "ncsa", "OSL-3.0": "osl", "PSF-2.0": "python",
+    "PostgreSQL": "postgresql", "Python-2.0": "python", "Unlicense": "unlicense", "Zlib": "zlib",
+}
 #: Verbs before a name, and what stands between.
 GRANTS = ("licen[sc]ed", "released", "distributed", "available", "published")
 PLAIN = (
@@ -111,6 +176,11 @@ def rules() -> list[Rule]:
 
     for phrase, label in BASE.items():
         rule(label, phrase.split(" ")[0] if label == "cc-by-nc" else label.split("-")[0], phrase, 0, 1.0)
+    for label, keyword, body in SIGNATURES:
+        rule(label, keyword, body, 0, 1.0)
+    for spdx_id, label in SPDX.items():
+        words = " ".join(spdx_id.lower().replace(".", "-").split("-"))
+        rule(label, "spdx", rf"spdx licen[sc]e identifier {words}(?: only| or later)?", 0, 1.0)
     for f in FAMILIES:
         spdx = f.label.replace("-", " ")
         rule(f.label, "spdx", rf"spdx licen[sc]e identifier {spdx}(?: [0-9]+)*(?: only| or later)?", 0, 1.0)

@@ -1,12 +1,14 @@
 """Quality rules, secrets and licenses against plain Python, row by row."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 from re import _parser
 
 import pytest
+from pyspark.sql import functions as F
 
 from passageworks.llm import licenses, quality, secrets
 
@@ -182,3 +184,54 @@ def test_spdx_lines_alone(spark):
     rows = [(i, f"# SPDX-License-Identifier: {x}\nimport os\n") for i, x in enumerate(ids)]
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (label, 1.0) for i, label in enumerate(ids.values())}
+
+
+BODIES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files (the "Software")',
+    "boost": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\nTHE SOFTWARE IS",
+    "bsd": "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+    "bsd-3": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+    "apache-2": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS',
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+}
+
+
+def test_bodies_and_spdx_ids_have_their_labels(spark):
+    texts = {**{body: label for label, body in BODIES.items()}, **{f"SPDX-License-Identifier: {x}": y for x, y in licenses.SPDX.items()}}
+    texts["SPDX-License-Identifier: BSD-3-Clause\n" + BODIES["bsd"] + " that: " + BODIES["bsd-3"]] = "bsd,bsd-3"
+    texts["Permission was granted, free of charge; redistribution in source form is not."] = ""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
+def brute_resolved(found):
+    kept, reach = [], -1
+    for x in sorted(found):
+        start, back, priority = x[:3]
+        if -back <= reach or (start < reach and priority >= kept[-1][2]):
+            continue
+        if start < reach:
+            kept.pop()
+        kept.append(x)
+        reach = max(reach, -back)
+    return kept
+
+
+def test_sweep_equals_plain_python(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(300):
+        places = [(s, s + r.randint(1, 12)) for s in (r.randrange(40) for _ in range(r.randint(0, 14)))]
+        rows.append((i, sorted((s, -e, r.randint(0, 3), n, f"l{n}", 0.5) for n, (s, e) in enumerate(places))))
+    kind = "array<struct<start:bigint,back:bigint,priority:int,rank:int,label:string,weight:double>>"
+    got = spark.createDataFrame(rows, f"id int, found {kind}").select("id", licenses.resolved(F.col("found")).alias("kept"))
+    for x in got.collect():
+        assert [tuple(d) for d in x.kept] == brute_resolved(rows[x.id][1])
