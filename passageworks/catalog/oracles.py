@@ -266,6 +266,10 @@ ORACLES["chunk_table"] = f"""WITH RECURSIVE {DOCS}, {HYBRID}, {NUMBERED}
 SELECT id, 'tickets' AS source_table, source_id, length(content)::INTEGER AS n_chars,
   {fixed.EMBEDDING_DIM}::INTEGER AS dim FROM numbered"""
 
+ORACLES["index_report"] = f"""WITH RECURSIVE {DOCS}, {HYBRID}
+SELECT 'documents' AS role, count(*) AS n_rows FROM docs
+UNION ALL SELECT 'chunks', count(*) FROM pieces"""
+
 ORACLES["managed_chunk_table"] = f"""WITH {DOCUMENT_CHUNKS}
 SELECT 'tickets' AS source_table, source_id, count(*) AS n_rows,
   (SELECT count(*) FROM chunks) AS n_analyzed FROM chunks GROUP BY source_id"""
@@ -398,6 +402,8 @@ SELECT qid, chunk_id, source_id, d, rank FROM hits"""
 
 ORACLES["ann_bounded"] = ORACLES["candidate_topk"]
 
+ORACLES["candidate_topk_codes"] = ORACLES["candidate_topk"]
+
 ORACLES["two_stage_ann"] = ORACLES["two_stage_retrieval"]
 
 PROBED = f"""centres AS (SELECT row_number() OVER (ORDER BY label) AS cell, c FROM (

@@ -16,11 +16,12 @@ from passageworks.functions.tokens import REGEX_COUNTER
 from passageworks.operators import chunking, documents, ivf, key_bits, packing, prompts, quality
 from passageworks.operators import ranking, replies
 from passageworks.operators.cells import bounded_topk, measure_cells
+from passageworks.operators.codes import coded_topk, write_codes
 from passageworks.operators.embedding import embed
 from passageworks.operators.ids import dense_ids
 from passageworks.operators.ordered import ordered_concat
 from passageworks.plans.answer import answer_table, contexts_for
-from passageworks.plans.index import build_index
+from passageworks.plans.index import IndexCounts, build_index
 from passageworks.session import work_path
 from passageworks.sources import tables
 from passageworks.sources.questions import question_rows
@@ -87,6 +88,17 @@ def chunk_table(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def index_report(t: Inputs) -> DataFrame:
+    """How many documents were indexed as how many chunks, counted by the write."""
+    counts = IndexCounts()
+    build_index(
+        t.documents(), work_path(t.spark, "counted"), max_tokens=CHUNK_TOKENS, topics=TOPICS, counts=counts
+    )
+    rows = [("documents", counts.documents), ("chunks", counts.chunks)]
+    return t.spark.createDataFrame(rows, "role string, n_rows long")
+
+
 @query
 def managed_chunk_table(t: Inputs) -> DataFrame:
     """Drop, create, refresh, analyze; then the row count the catalog knows."""
@@ -414,6 +426,16 @@ def ann_bounded(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def candidate_topk_codes(t: Inputs) -> DataFrame:
+    """The nearest, by codes of one byte per component; vectors in full where they may win."""
+    indexed = _lists(t, ivf.fit_centres(t.vector_chunks(), ANN_LISTS))
+    found = coded_topk(write_codes(indexed), indexed, t.vector_questions(), cell="cell")
+    return found.hits.select(
+        "qid", "chunk_id", "source_id", "d", F.round(vectors.score(F.col("d")), 6).alias("score"), "rank"
+    )
+
+
 @query
 def ann_few_probes(t: Inputs) -> DataFrame:
     return _ann_few(t, fixed.TOP_K)

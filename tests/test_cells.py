@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from passageworks.functions.automaton import automata, build, topic_label_wide
 from passageworks.functions.text import topic_label
-from passageworks.operators import ivf, key_bits, quality, ranking
+from passageworks.operators import codes, ivf, key_bits, quality, ranking
 from passageworks.operators.cells import bounded_topk, measure_cells
 from passageworks.operators.nearest import nearest
 from passageworks.operators.ordered import ordered_concat
+from passageworks.plans.index import IndexCounts, build_index
 from passageworks.session import stored, work_path
 from passageworks.sources import tables
 from passageworks.sources.schemas import TableSpec
@@ -75,6 +76,73 @@ def test_lateral_lookup(spark, clusters):
     assert rows and rows == sorted(map(str, want.select(columns).collect()))
 
 
+# ---- codes -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("k", [1, 12, 45, 700])
+def test_coded_search_is_exact(clusters, k):
+    chunks, asked, indexed, _ = clusters
+    coded = codes.write_codes(indexed)
+    assert set(coded.columns) == {"id", "source_id", "cell", "code", "scale", "residual"}
+    few = asked.filter("qid < 4")
+    columns = ["qid", "chunk_id", "source_id", "d", "rank"]
+    for questions in (few, asked):
+        want = nearest(chunks, questions, k, carry="source_id").select(columns).collect()
+        for cell in (None, "cell"):
+            found = codes.coded_topk(coded, indexed, questions, k, cell=cell)
+            assert sorted(map(str, found.hits.select(columns).collect())) == sorted(map(str, want))
+    # Vectors are read for about as many rows as few questions have neighbours.
+    read = codes.coded_topk(coded, indexed, few, k).vectors_read
+    assert read == 600 if k == 700 else read <= 4 * k + 60 + 41  # 41 equal vectors
+
+
+def test_bounds_hold_the_distance():
+    rng = np.random.default_rng(5)
+    for size in (1e-3, 1.0, 1e4):
+        x, points = rng.normal(0, size, (200, 16)), rng.normal(0, size, (30, 16))
+        x[0], x[1], points[0] = 0, x[2], x[3]
+        scale = np.abs(x).max(axis=1) / 127
+        code = np.rint(x / np.where(scale > 0, scale, 1)[:, None]) * scale[:, None]
+        lower, upper = codes.bounds(code, np.linalg.norm(x - code, axis=1), points)
+        true = np.linalg.norm(points[:, None] - x[None], axis=2)
+        assert (lower <= true).all() and (true <= upper).all() and (upper - lower < 0.2 * size).all()
+
+
+def test_coded_search_of_nothing(spark, clusters):
+    _, asked, indexed, _ = clusters
+    none = indexed.limit(0)
+    for found in (
+        codes.coded_topk(codes.write_codes(none), none, asked, 3, cell="cell"),
+        codes.coded_topk(codes.write_codes(indexed), indexed, asked.limit(0), 3, cell="cell"),
+    ):
+        assert found.vectors_read == 0 and found.hits.count() == 0
+    zeros = spark.createDataFrame([(1, 1, [0.0] * 8), (2, None, [0.0] * 8)], "id long, source_id long, embedding array<float>")
+    got = codes.coded_topk(codes.write_codes(zeros), zeros, asked.filter("qid = 0"), 1).hits.collect()
+    assert [(r.chunk_id, r.rank) for r in got] == [(1, 1)]
+
+
+# ---- counts of a write ---------------------------------------------------------
+
+
+def test_indexing_counts_without_another_job(spark):
+    rows = [(i, "" if i % 9 == 0 else f"Line {i}.\n\nAnother one, of {i} words.") for i in range(200)]
+    docs = stored(spark.createDataFrame(rows + [(500, None)], "doc_id long, text string"), "counted-docs")
+
+    def jobs(group, **options):
+        spark.sparkContext.setJobGroup(group, group)
+        build_index(docs, work_path(spark, "counted"), **options)
+        spark.sparkContext.setJobGroup("other", "other")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    counts = IndexCounts()
+    assert jobs("with-counts", counts=counts) == jobs("without-counts")
+    assert counts.documents == 201 and counts.chunks == 2 * sum(i % 9 > 0 for i in range(200))
+    with pytest.raises(quality.EmptyInputError):
+        build_index(docs.limit(0), work_path(spark, "counted"))
+    with pytest.raises(quality.EmptyInputError):
+        build_index(docs.filter("text = ''"), work_path(spark, "counted"))
+
+
 # ---- key bits ----------------------------------------------------------------
 
 
