@@ -2,13 +2,15 @@
 
 Each text is matched against the kinds below.  The SHA-256 of every candidate's value is
 counted over the whole corpus by distinct owners and by distinct repositories of those
-owners: a value that several owners hold is a widely copied example, one that a single
-owner holds looks live.  Base kinds are always reported; the further kinds are reported
-where they look live.
+owners: a value that several owners hold, or very many repositories of few owners, is a
+widely copied example; one of few owners and repositories looks live.  Base kinds are always
+reported; the further kinds are reported where they look live.
 
 Matching is row-local; only hashes, owners and places are shuffled.  The counts are
 taken in steps (value, owner, repository), (value, owner), (value), each pre-aggregated
-in its tasks, so a value in a third of all rows makes no heavy task.
+in its tasks, so a value in a third of all rows makes no heavy task.  Spans get the counts of
+values with more than one in `HOT_SHARE` of all places by broadcast, since fewer than
+`HOT_SHARE` values can have that many; the others join by value.
 
 Defined cases: a null text is empty and has no span; a null owner or repository counts
 as one owner or repository of its own; rows that repeat an id or a whole row are scanned
@@ -27,6 +29,9 @@ from passageworks.session import stored
 
 #: Owners from which on a value is a widely copied example.
 EXAMPLE_OWNERS = 3
+#: Distinct repositories from which on it is one within fewer owners, too.
+EXAMPLE_REPOSITORIES = 100
+HOT_SHARE = 1_000
 
 
 @dataclass(frozen=True)
@@ -103,6 +108,19 @@ def ownership(rows: DataFrame) -> DataFrame:
     )
 
 
+def with_counts(spans: DataFrame, counts: DataFrame) -> DataFrame:
+    """Spans with the counts of their values; values of very many places are not shuffled."""
+    total = counts.agg(F.sum("places")).first()[0] or 0
+    hot = F.col("places") * HOT_SHARE > total
+    often = counts.where(hot)
+    return (
+        spans.join(F.broadcast(often), "value")
+        .unionByName(
+            spans.join(F.broadcast(often.select("value")), "value", "left_anti").join(counts.where(~hot), "value")
+        )
+    )
+
+
 def scan(
     docs: DataFrame,
     *,
@@ -111,6 +129,7 @@ def scan(
     owner_col: str = "source",
     repository_col: str = "doc_id",
     example_owners: int = EXAMPLE_OWNERS,
+    example_repositories: int = EXAMPLE_REPOSITORIES,
 ) -> DataFrame:
     """Per row of `docs`: doc_id, text_key and `spans`.
 
@@ -123,7 +142,9 @@ def scan(
     )
     spans = rows.where(F.size("spans") > 0).select("row", "doc_id", "text_key", F.explode("spans").alias("s"))
     flat = spans.select("row", "doc_id", "text_key", "s.*")
-    judged = flat.join(ownership(rows), "value").withColumn("live", F.col("owners") < example_owners)
+    counts = stored(ownership(rows), "secret-owners")
+    live = (F.col("owners") < example_owners) & (F.col("repositories") < example_repositories)
+    judged = with_counts(flat, counts).withColumn("live", live)
     packed = F.struct("start", "rank", "stop", "kind", "value", "owners", "repositories", "live")
     # A row whose candidates all went still is a row: keep it by an aggregate that drops nulls.
     shown = F.when((F.col("rank") < BASE_KINDS) | F.col("live"), packed)
@@ -148,6 +169,9 @@ def digest(scanned: DataFrame) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
+    def most(name: str) -> Column:
+        return F.coalesce(F.array_max(F.transform("spans", lambda s: s[name])), F.lit(0)).cast("long")
+
     base = F.filter("spans", lambda s: s["rank"] < BASE_KINDS)
     return scanned.select(
         "doc_id",
@@ -156,6 +180,8 @@ def digest(scanned: DataFrame) -> DataFrame:
         text_of(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_example"),
+        most("owners").alias("most_owners"),
+        most("repositories").alias("most_repositories"),
     )
 
 

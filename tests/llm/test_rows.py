@@ -115,6 +115,34 @@ def test_widely_copied_values_are_examples_and_further_kinds_need_to_be_live(spa
     assert not got[20].spans[0].live and got[20].spans[0].owners == 3 and got[20].spans[0].repositories == 3
 
 
+@pytest.mark.parametrize("share", [1, 1000])
+def test_verdicts_equal_plain_counts(spark, monkeypatch, share):
+    """One value in a third of all rows, some in many repositories of few owners, nulls, copies."""
+    monkeypatch.setattr(secrets, "HOT_SHARE", share)
+    r, rows = random.Random(7), []
+    for i in range(900):
+        value = "hot" if i % 3 == 0 else f"v{r.randrange(60)}" if i % 3 == 1 else f"own{i}"
+        few = value in ("hot", "v1", "v2")
+        rows.append((i, f"a Bearer {value:x<24} and token={value:y<8}", r.choice([None, "s1"] if few else ["s1", "s2", "s3", None])))
+    rows += rows[:40] + [(5000, None, "s1"), (None, "token=aaaaaaaa", None)]
+    held = {}
+    for i, text, owner in rows:
+        for hit in re.findall(r"(?:Bearer |token=)(\w+)", text or ""):
+            held.setdefault(hit, set()).add((owner, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for x in secrets.scan(docs).collect():
+        for span in x.spans:
+            hit = next(h for h in held if hashlib.sha256(h.encode()).hexdigest() == span.value)
+            owners, repositories = len({o for o, _ in held[hit]}), len(held[hit])
+            assert (span.owners, span.repositories) == (owners, repositories)
+            assert span.live == (owners < secrets.EXAMPLE_OWNERS and repositories < secrets.EXAMPLE_REPOSITORIES)
+    digests = {x.doc_id: x for x in secrets.digest(secrets.scan(docs)).collect()}
+    assert len(held["hot" + "y" * 5]) >= 100 and digests[0].most_owners == 2 and digests[0].most_repositories == 300
+    # The hot value is no live one, though it has two owners: only its base span is shown.
+    assert digests[0].n_live == 0 and digests[0].n_example == 1 and digests[2].n_live == 2
+    assert digests[5000].most_owners == 0 and digests[5000].spans == ""
+
+
 def test_secrets_of_no_rows(spark, docs):
     assert secrets.scan(docs.limit(0)).count() == 0
 
