@@ -5,9 +5,13 @@ Every role uses its whole table.  `oracles` states the same mappings in SQL.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passageworks.functions.tokens import Running, batch_counter, counted_by_cuts
 from passageworks.session import ship_package
 from passageworks.sources.tables import read_files, spread
 
@@ -20,6 +24,25 @@ TOPICS = {
 }
 CHUNK_TOKENS = 40
 
+_TOKEN = re.compile(r"\w+|[^\w \t\n\r\f\v]")
+
+
+def _tokens(texts: Sequence[str]) -> list[int]:
+    return [len(_TOKEN.findall(t)) for t in texts]
+
+
+def _paired(texts: Sequence[str]) -> list[int]:
+    return [(n + 1) // 2 for n in _tokens(texts)]
+
+
+def _running_paired() -> Running:
+    add = counted_by_cuts(_tokens, r"\s")
+    return lambda piece: (add(piece) + 1) // 2
+
+
+# Tokens merge two by two from the left: counts of parts do not add up.
+PAIRED = batch_counter(_paired, running=_running_paired)
+
 
 class Inputs:
     def __init__(self, spark: SparkSession, path: str):

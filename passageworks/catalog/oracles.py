@@ -7,7 +7,8 @@ text rule is stated once.
 from __future__ import annotations
 
 from passageworks.catalog.inputs import CHUNK_TOKENS, TOPICS
-from passageworks.catalog.queries import ANN_PROBES, PIPELINE_CONTEXT, WIDE_CONTEXT, WIDE_WORD
+from passageworks.catalog.queries import ANN_PROBES, JOINED_CONTEXT, JOINED_GROUPS
+from passageworks.catalog.queries import PIPELINE_CONTEXT, WIDE_CONTEXT, WIDE_WORD
 from passageworks.functions import fixed
 from passageworks.functions.text import WS_CLASS
 from passageworks.functions.tokens import TOKEN_PATTERN
@@ -435,6 +436,18 @@ ORACLES["context_pack_wide"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS},
 {retrieval()},
 {contexts(WIDE_CONTEXT)} SELECT qid, context FROM contexts"""
 
+_HEADER, _LIMIT = lit(fixed.CONTEXT_HEADER), JOINED_CONTEXT - fixed.RESERVE_FOR_ANSWER
+ORACLES["context_pack_joined"] = f"""WITH RECURSIVE {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {ASKED},
+{candidates(fixed.CANDIDATE_K)}, {SCORES}, {inside(JOINED_GROUPS, fixed.TOP_K)},
+{contexts(JOINED_CONTEXT).replace('contexts AS', 'summed AS')},
+fold AS (SELECT qid, rank, block AS body FROM blocks WHERE rank = 1
+  UNION ALL SELECT b.qid, b.rank, f.body || {lit(fixed.BLOCK_SEPARATOR)} || b.block
+  FROM fold f JOIN blocks b ON b.qid = f.qid AND b.rank = f.rank + 1
+  WHERE ({n_tokens(f"({_HEADER} || f.body)")} + 1) // 2 <= {_LIMIT})
+SELECT qid, coalesce(arg_max(body, rank) FILTER (
+  WHERE ({n_tokens(f"({_HEADER} || body)")} + 1) // 2 <= {_LIMIT}), '') AS context
+FROM fold GROUP BY qid"""
+
 _SEP = lit(fixed.CHUNK_SEPARATOR)
 ORACLES["sentence_pack"] = f"""WITH {_SENTENCES},
 costs AS (SELECT *, sum({n_tokens('sentence')}

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passageworks.catalog.inputs import CHUNK_TOKENS, TOPICS, Inputs
+from passageworks.catalog.inputs import CHUNK_TOKENS, PAIRED, TOPICS, Inputs
 from passageworks.functions import fixed, text, vectors
 from passageworks.functions.automaton import topic_label_wide
 from passageworks.functions.tokens import REGEX_COUNTER
@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {}
 ANN_LISTS, ANN_PROBES = 10, 8
 BOUNDED_LISTS = 60
 WIDE_CONTEXT, PIPELINE_CONTEXT = 12_000, 2_500
+JOINED_GROUPS, JOINED_CONTEXT = 5, 12_000
 WIDE_WORD, MAX_KEYWORDS = "[a-z]{4,}", 200_000
 
 
@@ -485,6 +486,15 @@ def context_pack_wide(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def context_pack_joined(t: Inputs) -> DataFrame:
+    """Five groups, with a counter whose counts do not add up: joined texts are counted."""
+    return contexts_for(
+        _stored_document_chunks(t), _question_vectors(t), groups=JOINED_GROUPS,
+        max_context=JOINED_CONTEXT, counter=PAIRED,
+    )
+
+
 @query
 def sentence_pack(t: Inputs) -> DataFrame:
     """Leading sentences of each document within a budget."""

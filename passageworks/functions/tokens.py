@@ -3,11 +3,13 @@
 The default counts runs of word characters and single punctuation marks with a
 regular expression in the JVM.  `batch_counter` wraps any Python counter (a BPE
 encoder, say) in Arrow UDFs; such counts are usually not additive over
-concatenation, so packing then counts joined texts instead of summing.
+concatenation, so packing then counts joined texts instead of summing.  It does so piece
+by piece, by the counter's running form.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -18,18 +20,24 @@ from pyspark.sql import types as T
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
+# Takes the next piece of a text and gives the count of the text up to its end.
+Running = Callable[[str], int]
+BatchCount = Callable[[Sequence[str]], Sequence[int]]
+
 
 @dataclass(frozen=True)
 class TokenCounter:
     """`count` maps a string column, `count_each` an array<string> column.
 
     `additive` says that the count of texts joined by white-space-delimited
-    separators is the sum of the single counts.
+    separators is the sum of the single counts.  `running` begins a text that comes in
+    pieces; a counter that is not additive needs it for packing.
     """
 
     count: Callable[[Column], Column]
     count_each: Callable[[Column], Column]
     additive: bool = True
+    running: Callable[[], Running] | None = None
 
 
 def _regex_count(text: Column) -> Column:
@@ -43,10 +51,52 @@ REGEX_COUNTER = TokenCounter(
 )
 
 
+def recounted(fn: BatchCount) -> Running:
+    """A running count for any counter: keeps the text and counts it anew with each piece."""
+    text = ""
+
+    def add(piece: str) -> int:
+        nonlocal text
+        text += piece
+        return int(fn([text])[0])
+
+    return add
+
+
+def counted_by_cuts(fn: BatchCount, cut: str) -> Running:
+    """A running count that keeps only what follows the last cut.
+
+    `cut` is a regular expression; where a match begins, the text can be divided without
+    a change of the sum of counts, whatever follows.  Each character before the last
+    cut is counted once.
+    """
+    cuts = re.compile(cut)
+    done, tail = 0, ""
+
+    def add(piece: str) -> int:
+        nonlocal done, tail
+        tail += piece
+        at = 0
+        for match in cuts.finditer(tail):
+            at = match.start()
+        head, tail = tail[:at], tail[at:]
+        counts = fn([head, tail])
+        done += int(counts[0])
+        return done + int(counts[1])
+
+    return add
+
+
 def batch_counter(
-    fn: Callable[[Sequence[str]], Sequence[int]], additive: bool = False
+    fn: BatchCount,
+    additive: bool = False,
+    running: Callable[[], Running] | None = None,
 ) -> TokenCounter:
-    """A counter from a function over a batch of texts; NULL counts as empty."""
+    """A counter from a function over a batch of texts; NULL counts as empty.
+
+    Without a `running` form (`counted_by_cuts`, say) a text in pieces is counted anew
+    with each piece.
+    """
 
     def counts(texts: pa.Array) -> pa.Array:
         return pa.array(list(fn(texts.fill_null("").to_pylist())), pa.int32())
@@ -61,7 +111,8 @@ def batch_counter(
             _offsets(lists), counts(lists.flatten())
         )
 
-    return TokenCounter(count=one, count_each=each, additive=additive)
+    begin = running or (lambda: recounted(fn))
+    return TokenCounter(count=one, count_each=each, additive=additive, running=begin)
 
 
 def _offsets(lists: pa.Array) -> pa.Array:

@@ -1,11 +1,12 @@
 """Search, ranking and packing against brute force and hand-made cases."""
 
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from passageworks.functions import fixed
-from passageworks.functions.tokens import REGEX_COUNTER, batch_counter
+from passageworks.functions.tokens import REGEX_COUNTER, batch_counter, counted_by_cuts, recounted
 from passageworks.operators import ivf, packing, prompts, ranking, replies
 from passageworks.operators.embedding import embed, hashed_words
 from passageworks.plans.index import build_index
@@ -244,6 +245,87 @@ def test_context_counts_joined_text(spark):
     assert packed(spark, ["a a a a", "b b b b"], MERGING, 7) == "a a a a"
 
 
+def joined_by_hand(blocks, count, limit):
+    """The rule, with every joined text counted."""
+    shown = [b for b in blocks if b is not None]
+    join = lambda n: SEP.join(b for b in blocks[:n] if b is not None)
+    fits = [count(fixed.CONTEXT_HEADER + join(n)) <= limit for n in range(1, len(blocks) + 1)]
+    if fits[-1]:
+        return SEP.join(shown)
+    if fits[0]:
+        return join(fits.index(False))
+    budget = limit - count(fixed.CONTEXT_HEADER)
+    return (blocks[0] or "") if budget <= 0 or count(blocks[0] or "") <= budget else ""
+
+
+def _counters():
+    """White-space runs and pieces of four letters: neither adds up where texts meet.
+
+    Made inside a function, so that workers get them by value.
+    """
+    def four_letters(texts):
+        import re
+
+        return [len(re.findall(r"\s+|\S{1,4}", t)) for t in texts]
+
+    def anew():
+        return recounted(four_letters)
+
+    def by_cuts():
+        return counted_by_cuts(four_letters, r"(?<!\s)\s")
+
+    return four_letters, {"anew": anew, "by cuts": by_cuts}
+
+
+four_letters, COUNTERS = _counters()
+
+
+@pytest.mark.parametrize("form", COUNTERS)
+def test_running_counts(form):
+    rng = random.Random(4)
+    for _ in range(200):
+        add, text = COUNTERS[form](), ""
+        for _ in range(6):
+            piece = "".join(rng.choice("ab \n") for _ in range(rng.randrange(9)))
+            text += piece
+            assert add(piece) == four_letters([text])[0]
+
+
+@pytest.mark.parametrize("form", [*COUNTERS, "merging"])
+def test_fold_equals_counting_every_prefix(spark, form):
+    """Also across Arrow batches, with empty, NULL and very long blocks."""
+    rng = random.Random(5)
+    merging = lambda ts: [max(0, len(t.split()) - 2 * t.count("=" * 20)) for t in ts]
+    fn = merging if form == "merging" else four_letters
+    counter = batch_counter(fn, running=COUNTERS.get(form))
+    asked = {
+        q: [
+            rng.choice(["", None, " a ", "b\n", "abcde " * rng.randrange(1, 9), "x" * 3000])
+            for _ in range(rng.randrange(1, 8))
+        ]
+        for q in range(60)
+    }
+    rows = [(q, r, b) for q, blocks in asked.items() for r, b in enumerate(blocks, 1)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = spark.createDataFrame(rows, "qid long, rank int, block string")
+        for limit in (-1, 6, 40, 1600):
+            got = {r.qid: r.context for r in packing.pack_contexts(df, limit, 0, counter).collect()}
+            assert got == {q: joined_by_hand(b, lambda t: fn([t])[0], limit) for q, b in asked.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+
+
+def test_no_text_comes_back_from_the_fold(spark):
+    df = spark.createDataFrame([], "qid long, rank int, block string, extra string")
+    counted = packing.prefix_counts(df, WORDS)
+    assert counted.columns == ["qid", "rank", "header", "first", "used"]
+    assert counted.count() == 0 and packing.pack_contexts(df, 9, 0, WORDS).count() == 0
+    with pytest.raises(ValueError, match="running"):
+        packing.prefix_counts(df, REGEX_COUNTER)
+
+
 def test_blocks_show_group_and_order(spark):
     hits = spark.createDataFrame(
         [(1, 42, 1, 2, "far"), (1, 42, 1, 1, "near"), (1, 43, 2, 1, "other")],
