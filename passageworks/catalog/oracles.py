@@ -507,3 +507,7 @@ ORACLES["ticket_answers"] = f"""WITH RECURSIVE {TICKET_ROWS}, docs AS ({TICKET_T
 
 ORACLES["question_stream_answers"] = f"""WITH {TURNS}, {QUESTIONS}, {DOCUMENT_CHUNKS}, {ASKED},
 {retrieval()}, {contexts(WIDE_CONTEXT)}, {ROUTED} SELECT qid, prompt, reply FROM routed"""
+
+ORACLES["question_stream_cells"] = ORACLES["question_stream_answers"]
+
+ORACLES["answer_cells"] = ORACLES["answer_pipeline"]

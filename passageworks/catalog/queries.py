@@ -15,7 +15,7 @@ from passageworks.functions.automaton import topic_label_wide
 from passageworks.functions.tokens import REGEX_COUNTER
 from passageworks.operators import chunking, documents, ivf, key_bits, packing, prompts, quality
 from passageworks.operators import ranking, replies
-from passageworks.operators.cells import bounded_topk, measure_cells
+from passageworks.operators.cells import bounded_topk, measure_cells, read_cells, write_cells
 from passageworks.operators.codes import coded_topk, write_codes
 from passageworks.operators.embedding import embed
 from passageworks.operators.ids import dense_ids
@@ -33,6 +33,7 @@ QUERIES: dict[str, Query] = {}
 
 ANN_LISTS, ANN_PROBES = 10, 8
 BOUNDED_LISTS = 60
+ANSWER_LISTS = 20
 WIDE_CONTEXT, PIPELINE_CONTEXT = 12_000, 2_500
 JOINED_GROUPS, JOINED_CONTEXT = 5, 12_000
 WIDE_WORD, MAX_KEYWORDS = "[a-z]{4,}", 200_000
@@ -571,6 +572,20 @@ def answer_pipeline(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def answer_cells(t: Inputs) -> DataFrame:
+    """As `answer_pipeline`; indexing also writes cells, and answers search through them."""
+    cells = work_path(t.spark, "cells")
+    chunks = build_index(
+        _conversations(t), work_path(t.spark, "pipeline"), cells=cells, lists=ANSWER_LISTS,
+        max_tokens=CHUNK_TOKENS, topics=TOPICS,
+    )
+    return answer_table(
+        tables.spread(chunks), _questions(t), max_context=PIPELINE_CONTEXT, counts="n_tok",
+        index=read_cells(t.spark, cells),
+    ).select("qid", "context", "reply", "request")
+
+
 @query
 def ticket_answers(t: Inputs) -> DataFrame:
     """The three ticket tables to answers, with the default topics and limits."""
@@ -585,11 +600,23 @@ def ticket_answers(t: Inputs) -> DataFrame:
 @query
 def question_stream_answers(t: Inputs) -> DataFrame:
     """User turns arriving as JSON files, asked against whole documents."""
+    return _streamed(t, _stored_document_chunks(t))
+
+
+@query
+def question_stream_cells(t: Inputs) -> DataFrame:
+    """The same through cells written once, of which each micro-batch reads what it needs."""
+    chunks, cells = _stored_document_chunks(t), work_path(t.spark, "cells")
+    write_cells(chunks, cells, ANSWER_LISTS)
+    return _streamed(t, chunks, index=read_cells(t.spark, cells))
+
+
+def _streamed(t: Inputs, chunks: DataFrame, **options) -> DataFrame:
     source, out, state = (work_path(t.spark, n) for n in ("ask", "answers", "state"))
     _questions(t).write.json(source)
     stream = answer_stream(
-        question_stream(t.spark, source), _stored_document_chunks(t), out, state,
-        available_now=True, max_context=WIDE_CONTEXT, counts="n_tok",
+        question_stream(t.spark, source), chunks, out, state,
+        available_now=True, max_context=WIDE_CONTEXT, counts="n_tok", **options,
     )
     stream.awaitTermination()
     return t.spark.read.parquet(out).select("qid", "prompt", "reply")

@@ -5,6 +5,9 @@ No chunk of a cell is nearer to a question than the distance to the centre less
 A question looks into its cells in the order of that bound; once its k-th distance is under
 the bound of the next cell, no other cell can change the result.  All questions of a round
 search together, and a round looks into twice as many cells as the one before.
+
+`write_cells` lays a chunk table out by cell once, at indexing; `read_cells` opens that for
+any number of searches.
 """
 
 from __future__ import annotations
@@ -14,16 +17,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passageworks.functions import fixed
 from passageworks.functions.vectors import TIE_DECIMALS
+from passageworks.operators.ivf import fit_centres, read_index, write_index
 from passageworks.operators.nearest import Questions, gather, matrix, nearest, ranked
 from passageworks.session import remove_work, stored_at
 
 # Rounding of distances, which decides ties, and of the bounds themselves.
 _SLACK = 4 * 10.0**-TIE_DECIMALS
+# Centres are fitted to a random sample of about this many chunks; all chunks get a cell.
+FIT_ROWS = 1_000_000
+FIRST_CELLS = 8
 
 
 @dataclass(frozen=True)
@@ -44,6 +51,46 @@ class Found:
     rounds: int
 
 
+@dataclass(frozen=True)
+class CellIndex:
+    """A chunk table by cell (id, source_id, embedding, cell) with its measured cells.
+
+    `first` is the number of cells of the first round of an exact search.  With `probes`,
+    a search looks into that many cells only, and is approximate.
+    """
+
+    chunks: DataFrame
+    cells: Cells
+    first: int = FIRST_CELLS
+    probes: int | None = None
+
+
+def write_cells(
+    chunks: DataFrame, path: str, lists: int = fixed.INDEX_LISTS, fit_rows: int | None = FIT_ROWS
+) -> None:
+    """Lay chunks (id, source_id, embedding) out by cell under `path`, and measure the cells.
+
+    Contents are left out.  The centres are written last, one row per cell.
+    """
+    spark = chunks.sparkSession
+    placed = chunks.select("id", "source_id", "embedding")
+    centres = fit_centres(placed, lists, fit_rows=fit_rows)
+    write_index(placed, centres, f"{path}/chunks")
+    cells = measure_cells(read_index(spark, f"{path}/chunks"), centres)
+    rows = zip(range(len(centres)), centres.tolist(), cells.radius.tolist(), cells.count.tolist())
+    schema = "cell int, centre array<double>, radius double, n long"
+    spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def read_cells(
+    spark: SparkSession, path: str, first: int = FIRST_CELLS, probes: int | None = None
+) -> CellIndex:
+    """What `write_cells` left at `path`; one row per cell reaches the driver."""
+    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").toArrow()
+    measured = Cells(matrix(rows["centre"]), rows["radius"].to_numpy(), rows["n"].to_numpy())
+    return CellIndex(read_index(spark, f"{path}/chunks"), measured, first, probes)
+
+
 def measure_cells(indexed: DataFrame, centres: np.ndarray, vector: str = "embedding") -> Cells:
     """Radius and count of each cell, in one pass over chunks with their `cell`.
 

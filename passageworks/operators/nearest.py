@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from passageworks.functions.vectors import TIE_DECIMALS
-from passageworks.session import stored
+from passageworks.session import shared, stored
 
 MAX_QUESTIONS = 16_384
 MAX_QUESTION_BYTES = 128 << 20
@@ -324,12 +324,12 @@ def _search_broadcast(
     spark = source.sparkSession
     arrow_schema = to_arrow_schema(schema)
     grouped = "_group" in block.labels.column_names
-    shared = spark.sparkContext.broadcast((block, bounds))
+    sent = shared(spark, (block, bounds))
     if grouped:
         source = _of_groups(source, block.labels["_group"].unique())
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, limits = shared.value
+        b, limits = sent.value
         best = NearestRows(b.lanes, k, limits)
         members = b.by_group(b.labels["_group"].to_numpy()) if grouped else {}
         for batch in batches:
@@ -357,12 +357,16 @@ def _of_groups(source: DataFrame, groups: pa.Array) -> DataFrame:
     """Only the chunks of routed groups, before they go to Python.
 
     A short list becomes a literal filter, which prunes partitions and row
-    groups; a longer one a broadcast semi join.  Its length is bounded by the
-    number of routes, which were collected under a bound.
+    groups; a longer one a broadcast semi join, which prunes partitions when it runs,
+    where groups are those of a partition column.  Its length is bounded by the number of
+    routes, which were collected under a bound.
     """
     if len(groups) <= MAX_LITERAL_GROUPS:
         return source.filter(F.col("_group").isin(groups.to_pylist()))
-    wanted = source.sparkSession.createDataFrame(pa.table({"_group": groups}))
+    # A written table: the optimizer would fold the range into literal rows, and only
+    # a side with a filter prunes the other.
+    wanted = stored(source.sparkSession.createDataFrame(pa.table({"_group": groups})), "groups")
+    wanted = wanted.filter(F.col("_group") >= pc.min(groups).as_py())
     return source.join(F.broadcast(wanted), "_group", "left_semi")
 
 

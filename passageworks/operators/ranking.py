@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from passageworks.functions import fixed
 from passageworks.functions.vectors import TIE_DECIMALS, l2_distance, score
+from passageworks.operators.cells import CellIndex, bounded_topk
 from passageworks.operators.ivf import Lists, ann_topk
 from passageworks.operators.nearest import MAX_QUESTIONS, Questions, gather, nearest
 
@@ -16,16 +17,22 @@ def candidates(
     chunks: DataFrame,
     questions: DataFrame | Questions,
     candidate_k: int = fixed.CANDIDATE_K,
-    index: Lists | None = None,
+    index: Lists | CellIndex | None = None,
     **search,
 ) -> DataFrame:
     """(qid, chunk_id, source_id, d, score, rank): nearest chunks of any source.
 
-    A chunk without a source takes its place among the nearest.  With an `index`,
-    `chunks` are those that `ivf.read_index` gives, and only the nearest lists are read.
+    A chunk without a source takes its place among the nearest.  With `Lists` as `index`,
+    `chunks` are those that `ivf.read_index` gives, and only the nearest lists are read.  With a
+    `CellIndex`, the chunks of that are searched: exactly, unless it limits the probes.
     """
     if index is None:
         hits = nearest(chunks, questions, candidate_k, carry="source_id", **search)
+    elif isinstance(index, CellIndex):
+        if index.probes is None:
+            hits = bounded_topk(index.chunks, questions, index.cells, candidate_k, index.first, **search).hits
+        else:
+            hits = ann_topk(index.chunks, questions, index.cells.centres, index.probes, candidate_k, **search)
     else:
         hits = ann_topk(chunks, questions, index.centres, index.probes, candidate_k, **search)
     return hits.select(
@@ -117,7 +124,7 @@ def retrieve(
     groups: int = fixed.TOP_GROUPS,
     top_k: int = fixed.TOP_K,
     max_questions: int = MAX_QUESTIONS,
-    index: Lists | None = None,
+    index: Lists | CellIndex | None = None,
     **search,
 ) -> DataFrame:
     """Both stages.  The first runs when this is called, because its winners

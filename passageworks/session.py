@@ -5,10 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
+from typing import Any
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[list[Callable[[], None]] | None] = ContextVar("work_scope", default=None)
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -69,7 +76,38 @@ def work_root(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{_work_tables(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_work_tables(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _scope.get()) is not None:
+        made.append(lambda: remove_work(spark, path))
+    return path
+
+
+@contextmanager
+def work_scope() -> Iterator[None]:
+    """Work tables and shared values made inside go at its end, after a failure as well.
+
+    What is computed inside must be written to a path of its own before the end.  Scopes
+    are per thread; an inner one removes what it made itself.
+    """
+    made: list[Callable[[], None]] = []
+    outer = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(outer)
+        for remove in reversed(made):
+            remove()
+
+
+def shared(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast value, destroyed at the end of the `work_scope` it is made in, if any.
+
+    The caller checks its size.
+    """
+    sent = spark.sparkContext.broadcast(value)
+    if (made := _scope.get()) is not None:
+        made.append(sent.destroy)
+    return sent
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

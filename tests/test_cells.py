@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from passageworks.functions.automaton import automata, build, topic_label_wide
 from passageworks.functions.text import topic_label
 from passageworks.operators import codes, ivf, key_bits, quality, ranking
-from passageworks.operators.cells import bounded_topk, measure_cells
+from passageworks.operators import nearest as search_module
+from passageworks.operators.cells import bounded_topk, measure_cells, read_cells, write_cells
 from passageworks.operators.nearest import nearest
 from passageworks.operators.ordered import ordered_concat
 from passageworks.plans.index import IndexCounts, build_index
-from passageworks.session import stored, work_path
+from passageworks.session import shared, stored, stored_at, work_path, work_scope
 from passageworks.sources import tables
 from passageworks.sources.schemas import TableSpec
 
@@ -53,6 +54,101 @@ def test_bounded_search_is_exact(clusters, k, search):
     assert found.probed < pairs / 2 if k <= 45 else found.probed == pairs
 
 
+def as_text(df):
+    return sorted(map(str, df.select("qid", "chunk_id", "source_id", "d", "rank").collect()))
+
+
+@pytest.mark.parametrize("fit_rows", [None, 200])
+def test_written_cells_answer_as_the_chunks_do(spark, clusters, fit_rows):
+    chunks, asked, _, _ = clusters
+    path = work_path(spark, "index")
+    write_cells(chunks.withColumn("content", F.lit("not kept")), path, 12, fit_rows)
+    index = read_cells(spark, path, first=1)
+    assert int(index.cells.count.sum()) == 600
+    assert set(index.chunks.columns) == {"id", "source_id", "embedding", "cell"}
+    want = as_text(nearest(chunks, asked, 9, carry="source_id"))
+    assert as_text(ranking.candidates(chunks, asked, 9, index)) == want
+    every = read_cells(spark, path, probes=12)
+    assert as_text(ranking.candidates(chunks, asked, 9, every)) == want
+    by_cells = ranking.retrieve(chunks, asked, 9, 2, 3, index=index)
+    plain = ranking.retrieve(chunks, asked, 9, 2, 3)
+    assert sorted(map(str, by_cells.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("literals", [1000, 0])
+def test_only_routed_cells_are_read(spark, clusters, literals, monkeypatch):
+    """A list of cells prunes partitions: as a literal, or while running when it is long."""
+    _, asked, indexed, _ = clusters
+    routes = asked.select("qid", F.pmod("qid", F.lit(2)).cast("int").alias("cell"))
+    want = as_text(nearest(indexed, asked, 4, carry="source_id", group="cell", routes=routes))
+    monkeypatch.setattr(search_module, "MAX_LITERAL_GROUPS", literals)
+    found = nearest(indexed, asked, 4, carry="source_id", group="cell", routes=routes)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("dynamicpruning" in plan) == (literals == 0)
+    filters = [line for line in plan.splitlines() if "PartitionFilters: [" in line and "cell#" in line]
+    assert any("PartitionFilters: []" not in line for line in filters)
+    assert as_text(found) == want
+
+
+def test_indexing_writes_cells_that_answer(spark):
+    from passageworks.plans.answer import answer_table
+
+    docs = spark.createDataFrame([(i, f"alma {i} körte {i % 3}") for i in range(40)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "alma 7"), (2, "körte 2")], "qid long, question string")
+    path, cells = work_path(spark, "chunks"), work_path(spark, "cells")
+    chunks = build_index(docs, path, cells=cells, lists=5, dim=32)
+    plain = answer_table(chunks, asked, dim=32, candidate_k=6).collect()
+    listed = answer_table(chunks, asked, dim=32, candidate_k=6, index=read_cells(spark, cells)).collect()
+    assert sorted(plain) == sorted(listed) and len(plain) == 2
+
+
+def test_a_scope_removes_what_was_made_in_it(spark):
+    df = spark.range(3)
+    kept, kept_path = stored_at(df, "kept")
+    with pytest.raises(RuntimeError, match="stop"):
+        with work_scope():
+            _, path = stored_at(df, "scoped")
+            value = shared(spark, [1, 2])
+            with work_scope():
+                _, inner = stored_at(df, "inner")
+            assert spark.read.parquet(path).count() == 3 and value.value == [1, 2]
+            with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+                spark.read.parquet(inner)
+            raise RuntimeError("stop")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    with pytest.raises(Exception, match="destroyed"):
+        value.unpersist()
+    assert kept.count() == 3 and spark.read.parquet(kept_path).count() == 3
+
+
+def test_a_stream_leaves_no_work_tables(spark, tmp_path):
+    import json
+    from pathlib import Path
+
+    from passageworks.operators.embedding import embed
+    from passageworks.streaming.questions import answer_stream, question_stream
+
+    source = tmp_path / "ask"
+    source.mkdir()
+    for i, text in enumerate(["alma", "körte"]):
+        (source / f"{i}.json").write_text(json.dumps({"qid": i, "question": text}))
+    chunks = embed(spark.createDataFrame([(1, 10, "alma"), (2, 11, "körte")], "id long, source_id long, content string"), dim=16)
+    chunks = stored(chunks, "few")
+    cells = work_path(spark, "cells")
+    write_cells(chunks, cells, 2)
+    folder = Path(cells.removeprefix("file:")).parent
+    before = {p.name for p in folder.iterdir()}
+    stream = answer_stream(
+        question_stream(spark, str(source), files_per_batch=1), chunks, str(tmp_path / "out"),
+        str(tmp_path / "state"), available_now=True, dim=16, groups=1, index=read_cells(spark, cells),
+    )
+    stream.awaitTermination()
+    rows = {r.qid: r.context for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows == {0: "[TICKET 10]\nalma", 1: "[TICKET 11]\nkörte"}
+    assert {p.name for p in folder.iterdir()} == before
+
+
 def test_bounded_search_of_nothing(spark, clusters):
     _, asked, indexed, centres = clusters
     cells = measure_cells(indexed, centres)
