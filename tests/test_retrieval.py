@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passageworks.functions import fixed
 from passageworks.functions.tokens import REGEX_COUNTER, batch_counter, counted_by_cuts, recounted
 from passageworks.operators import ivf, packing, prompts, ranking, replies
-from passageworks.operators.embedding import embed, hashed_words
+from passageworks.operators.embedding import embed, hashed_words, unit_rows
 from passageworks.plans.index import build_index
 from passageworks.operators.nearest import NearestRows, gather, nearest
 from passageworks.session import work_path
@@ -163,6 +163,17 @@ def test_embedding(spark):
     assert np.allclose(rows[0], direct / np.linalg.norm(direct))
 
 
+def test_hashing_by_columns_equals_hashing_by_texts(spark):
+    """With NULL, empty and long texts, and words at the edges or none at all."""
+    texts = [None, "", " ", "--", "a", "-a-", "ÁRVÍZ tűrő ΟΔΟΣ", "x1_ 2² ٣", "日本 語", "é\u0301 🙂 z", "Alma alma " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    for size in (2, 256):
+        got = {r.id: r.embedding for r in embed(df, "text", dim=24, batch_size=size).collect()}
+        want = unit_rows(hashed_words([t or "" for t in texts], 24)).astype(np.float32)
+        assert all(got[i] == want[i].tolist() for i in range(len(texts)))
+    assert embed(df.limit(0), "text").count() == 0
+
+
 def test_embedding_with_a_loaded_model(spark):
     def load():
         return lambda texts: np.array([[len(t), 3.0] for t in texts])
