@@ -1,6 +1,7 @@
 """Document assembly, integrity report, ids, questions and tables on small rows."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +185,22 @@ def test_hot_keys_keep_any_order(spark, kind):
     ]
     assert found[0] == found[1]
     assert found[0][0].split() == [f"t{i}" for i in range(0, 60, 2)]
+
+
+def test_segments_follow_the_rows_not_the_size_of_a_segment(spark, monkeypatch):
+    """A small `hot_rows` gives many segments, but not as many tasks and bounds; bounds hold no whole text."""
+    from passageworks.operators import ordered
+
+    monkeypatch.setattr(ordered, "SORT_ROWS", 1000)
+    rows = spark.range(3000).selectExpr(
+        "id % 3 AS key", "id % 7 AS at", "concat(repeat('x', 40), id) AS text"
+    )
+    few, many = (
+        ordered_concat(rows, key="key", text="text", order=["at"], separator=" ", out="out", hot_rows=n)
+        for n in (10_000, 5)
+    )
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    ranges = re.findall(r"rangepartitioning\((.*), (\d+)\), REPARTITION_BY_NUM", plan)
+    assert ranges and {int(n) for _, n in ranges} == {3}
+    assert not any("substring" not in by and ", text#" in by for by, _ in ranges)
+    assert sorted(few.collect()) == sorted(many.collect())
