@@ -339,3 +339,21 @@ def test_ties_are_in_one_order_whatever_the_size(spark):
         for n in (2, 1000)
     ]
     assert forms == [{1: "abcd", 2: "z"}] * 2
+
+
+def test_lateral_lookup_of_repeated_and_missing_vectors(spark):
+    """No pair of vectors is a row of the lookup; a missing distance comes first, as it did."""
+    chunks = spark.createDataFrame(
+        [(i, i % 2, None if i in (4, 9) else [float(i), 1.0]) for i in range(12)] + [(2, 0, [2.0, 1.0])],
+        "id long, source_id long, embedding array<float>",
+    )
+    asked = spark.createDataFrame(
+        [(1, 0, [2.0, 1.0]), (1, 0, [3.0, 1.0]), (2, 1, None), (3, None, [1.0, 1.0]), (None, 1, [1.0, 1.0])],
+        "qid long, source_id long, embedding array<float>",
+    )
+    found = ranking.lateral_chunks(stored(chunks, "lateral"), stored(asked, "asked"), 3)
+    assert "zip_with" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.qid, r.rank, r.chunk_id, r.d) for r in found.collect())
+    twice = [4, 4, 4, 4, 2, 2]  # two rows of question 1 share what either of them finds
+    assert [r[2] for r in rows if r[0] == 1] == twice and [r[3] for r in rows if r[0] == 1] == [None] * 4 + [0.0] * 2
+    assert [r[2:] for r in rows if r[0] == 2] == [(1, None), (3, None), (5, None)] and len(rows) == 9
