@@ -459,3 +459,34 @@ def test_repeated_question_ids_are_one_question_both_ways(spark):
         for n in (100, 0)
     ]
     assert ways[0] == ways[1] == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 1, 3), (2, 2, 2), (2, 3, 4)]
+
+
+def test_blocks_of_questions_leave_the_chunks_in_place(spark, cloud, monkeypatch):
+    """No vector of a chunk is shuffled for a question table too large to gather."""
+    from passageworks.operators import nearest as module
+    from passageworks.session import stored
+
+    df, questions, *_ = cloud
+    plans, ranked = [], module.ranked
+
+    def seen(found, *rest, **options):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return ranked(found, *rest, **options)
+
+    monkeypatch.setattr(module, "ranked", seen)
+    routes = questions.select("qid", F.pmod("qid", F.lit(5)).alias("source_id"))
+    for options in ({}, {"group": "source_id", "routes": routes}):
+        del plans[:]
+        hits = nearest(stored(df, "chunks"), questions, 4, **SEARCHES["blocks"], **options)
+        assert len(plans) >= 2 and not any("Exchange hashpartitioning" in p for p in plans)
+        want = nearest(df, questions, 4, **options)
+        assert sorted(map(str, hits.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("search", ["broadcast", "blocks"])
+def test_nothing_beyond_the_reach(spark, cloud, search):
+    df, questions, *_ = cloud
+    within = questions.selectExpr("qid", "CASE WHEN qid % 2 = 0 THEN 2.0D END AS reach").filter("reach IS NOT NULL")
+    hits = nearest(df, questions, 13, within=within, **SEARCHES[search]).drop("rank")
+    whole = nearest(df, questions, 13).drop("rank").filter("qid % 2 = 1 OR d <= 2")
+    assert sorted(map(str, hits.collect())) == sorted(map(str, whole.collect()))
