@@ -490,3 +490,13 @@ def test_nothing_beyond_the_reach(spark, cloud, search):
     hits = nearest(df, questions, 13, within=within, **SEARCHES[search]).drop("rank")
     whole = nearest(df, questions, 13).drop("rank").filter("qid % 2 = 1 OR d <= 2")
     assert sorted(map(str, hits.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_texts_of_contexts_move_once(spark):
+    hits = spark.createDataFrame(
+        [(q, 40 + g, g, r, f"w{q} " * r) for q in range(3) for g in (1, 2) for r in (1, 2)],
+        "qid long, source_id long, group_rank int, rank int, content string",
+    )
+    together = packing.group_blocks(hits.repartition("qid"))
+    plan = packing.pack_contexts(together, 99, 0, WORDS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "parquet" not in plan
