@@ -1,6 +1,8 @@
 """Search, ranking and packing against brute force and hand-made cases."""
 
 import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -302,6 +304,26 @@ def test_running_counts(form):
             assert add(piece) == four_letters([text])[0]
 
 
+def test_a_cut_is_looked_for_from_the_end():
+    """A cut far from the end is found as well, and most of a long text is not searched."""
+    from passageworks.functions import tokens
+
+    seen = []
+
+    class Cuts:
+        def finditer(self, text, start=0):
+            seen.append(len(text) - start)
+            return re.compile(r"(?<!\s)\s").finditer(text, start)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens.re, "compile", lambda _: Cuts(), raising=True)
+        add = counted_by_cuts(lambda ts: [len(t.split()) for t in ts], "")
+    for text, most in (("ab cd " * 5000, 256), ("x" * 9000 + " " + "y" * 5000, 16_384)):
+        del seen[:]
+        assert add(text) > 0 and max(seen) <= most
+    assert add("z") == len(("ab cd " * 5000 + "x" * 9000 + " " + "y" * 5000 + "z").split())
+
+
 @pytest.mark.parametrize("form", [*COUNTERS, "merging"])
 def test_fold_equals_counting_every_prefix(spark, form):
     """Also across Arrow batches, with empty, NULL and very long blocks."""
