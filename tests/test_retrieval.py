@@ -4,13 +4,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from passageworks.functions import fixed
 from passageworks.functions.tokens import REGEX_COUNTER, batch_counter, counted_by_cuts, recounted
 from passageworks.operators import ivf, packing, prompts, ranking, replies
-from passageworks.operators.embedding import embed, hashed_words, unit_rows
+from passageworks.operators.embedding import embed, hashed_words, text_slices, unit_rows
 from passageworks.plans.index import build_index
 from passageworks.operators.nearest import NearestRows, gather, nearest
 from passageworks.session import work_path
@@ -176,6 +178,16 @@ def test_hashing_by_columns_equals_hashing_by_texts(spark):
     assert embed(df.limit(0), "text").count() == 0
 
 
+def test_embedding_holds_the_words_of_bounded_slices():
+    """Long texts share no slice beyond the bound in bytes, however many a batch has."""
+    texts = pa.array([None, "ab " * 400_000, "", "c", "d " * 300_000, "e " * 300_000, *["f"] * 40])
+    slices = list(text_slices(texts, 16))
+    assert pa.concat_arrays(slices).equals(texts)
+    sizes = [pc.sum(pc.binary_length(s)).as_py() or 0 for s in slices]
+    assert all(size <= 1 << 20 or pc.max(pc.binary_length(s)).as_py() > size - (1 << 20) for s, size in zip(slices, sizes))
+    assert max(len(s) for s in slices) <= 16 and sum(size > 500_000 for size in sizes) > 1
+
+
 def test_embedding_with_a_loaded_model(spark):
     def load():
         return lambda texts: np.array([[len(t), 3.0] for t in texts])
