@@ -12,7 +12,9 @@ one: a text has an anchor for a run of windows about every 35 bytes.
 Anchors of equal 32-byte strings form the initial buckets.  A bucket is refined by the
 identifiers at the offsets around the anchor that its windows reach: runs that agree in
 all of them have equal windows, so all but the earliest are repeats.  Only the earliest
-runs of buckets that hold several different contexts need more: their windows are
+runs of buckets that hold several different contexts need more.  Their windows have four
+parts, by the offset of the anchor; the windows of a part have 83 bytes or more in common, and
+only where runs of different contexts agree in those can windows be equal.  These windows are
 refined one by one, by the identifiers of 64 bytes at the start and at offset 36.
 
 Copies inside one batch are settled before the shuffle, so a string in a third of all
@@ -42,6 +44,11 @@ from passageworks.session import ship_package, stored
 
 LEAST, ANCHOR = 100, 32
 SEGMENT = 1 << 20
+#: Parts of a run: the offsets of the anchor in their windows, first and last.
+PARTS = ((0, 16), (17, 33), (34, 50), (51, LEAST - ANCHOR))
+#: Bits of a part's identifier, and those of all parts; the offset of the anchor in the run is above.
+PART_BITS = 14
+SIDE_BITS = PART_BITS * len(PARTS)
 #: Bits of a place: a byte offset below a 24-bit hash of the text.
 OFFSET_BITS = 38
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -95,7 +102,7 @@ def pieces(batch: pa.RecordBatch) -> Iterator[Piece]:
 
 
 def runs(p: Piece) -> dict[str, np.ndarray]:
-    """Runs of windows that share an anchor: row, first window, windows, bucket, context."""
+    """Runs of windows that share an anchor: row, first window, windows, bucket, context, sides."""
     counts = np.maximum(p.sizes - LEAST + 1, 0)
     windows = ragged(p.starts, counts)
     if not len(windows):
@@ -121,10 +128,24 @@ def runs(p: Piece) -> dict[str, np.ndarray]:
     own = np.repeat(np.arange(len(counts)), counts)[begin]
     return {
         "row": p.rows[own], "low": low - p.starts[own] + p.base, "more": high - low,
-        "bucket": id32[anchor], "context": context,
+        "bucket": id32[anchor], "context": context, "sides": sides(id64, low, anchor),
     }
 
 
+def sides(id64: np.ndarray, low: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """The anchor's offset in each run, and bits of what the windows of each part have in common.
+
+    The bits of a part without windows mean nothing.
+    """
+    packed = (anchor - low).astype(np.uint64) << np.uint64(SIDE_BITS)
+    for i, (first, last) in enumerate(PARTS):
+        start = np.maximum(anchor - first, 0)
+        stop = np.minimum(start + LEAST - (last - first) - 64, len(id64) - 1)
+        common = joined(id64[start], id64[stop]) >> np.uint64(64 - PART_BITS)
+        packed |= common << np.uint64(PART_BITS * i)
+    return packed
+
+
 def earliest(order: tuple[np.ndarray, ...], keys: tuple[np.ndarray, ...]) -> np.ndarray:
     """Mask of the first of each equal `keys`; `order` decides, most important first."""
     by = np.lexsort((*reversed(order), *reversed(keys)))
@@ -167,6 +188,7 @@ def document_order(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 RUNS = "kind int, bucket long, context long, doc_id long, place long, more int"
+SIDED = RUNS + ", sides long"
 
 
 def _rows(batch, kind, bucket, context, row, place, more) -> pa.RecordBatch:
@@ -179,6 +201,10 @@ def _rows(batch, kind, bucket, context, row, place, more) -> pa.RecordBatch:
     )
 
 
+def _sided(rows: pa.RecordBatch, packed: np.ndarray) -> pa.RecordBatch:
+    return rows.append_column("sides", pa.array(packed.view(np.int64)))
+
+
 def _settled(batch, tie, row, low, stop) -> pa.RecordBatch:
     """Ranges known to be repeats: kind 1, spread by their text, length in `more`."""
     row, low, stop = unions(row, low, stop)
@@ -199,10 +225,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Rows that repeat id and text are one document: not repeats of each other.
             again = ~first & ~_same_place(r, order, first)
             f = first
-            yield _rows(batch, 0, r["bucket"][f], r["context"][f], r["row"][f], place[f], r["more"][f])
+            yield _sided(_rows(batch, 0, r["bucket"][f], r["context"][f], r["row"][f], place[f], r["more"][f]), r["sides"][f])
             if again.any():
                 low = r["low"][again]
-                yield _settled(batch, tie, r["row"][again], low, low + r["more"][again] + LEAST)
+                rows = _settled(batch, tie, r["row"][again], low, low + r["more"][again] + LEAST)
+                yield _sided(rows, np.zeros(rows.num_rows, np.uint64))
 
 
 def _same_place(r: dict, order: tuple[np.ndarray, ...], first: np.ndarray) -> np.ndarray:
@@ -270,14 +297,14 @@ def offset_of(place: Column) -> Column:
 
 
 def refined(found: DataFrame) -> DataFrame:
-    """Rows of RUNS after one refinement: (doc_id, tie, kind, low, more); stored.
+    """Rows of SIDED after one refinement: (doc_id, tie, kind, low, more, bucket, context, sides); stored.
 
     Kind 1 is a range of repeats with its length, kind 2 a run whose windows differ
-    in context from another run of its bucket.
+    in context from another run of its bucket; it alone has the last three.
     """
     bucket = Window.partitionBy("bucket")
     marked = found.repartition("bucket").select(
-        "kind", "doc_id", "place", "more",
+        "kind", "doc_id", "place", "more", "bucket", "context", "sides",
         later(["bucket", "context"]).alias("again"),
         (F.min("context").over(bucket) != F.max("context").over(bucket)).alias("mixed"),
     )
@@ -287,11 +314,34 @@ def refined(found: DataFrame) -> DataFrame:
         marked.select(
             "doc_id", tie_of(F.col("place")).alias("tie"), kind.alias("kind"), offset_of(F.col("place")).alias("low"),
             F.when(kind == 1, length).otherwise(F.col("more")).alias("more"),
+            *(F.when(kind == 2, F.col(c)).alias(c) for c in ("bucket", "context", "sides")),
         ).where("kind is not null"),
         "refined-runs",
     )
 
 
+def open_parts(open_runs: DataFrame) -> DataFrame:
+    """(doc_id, tie, low, more): the windows of the parts of runs that agree with a part of
+    another context in what all their windows have in common."""
+    anchor = F.col("low") + F.shiftrightunsigned("sides", SIDE_BITS)
+    mask = F.lit((1 << PART_BITS) - 1)
+    parts = F.array(*(
+        F.struct(
+            F.lit(i).alias("part"), F.shiftrightunsigned("sides", PART_BITS * i).bitwiseAND(mask).alias("common"),
+            F.greatest(F.col("low"), anchor - last).alias("from"),
+            F.least(F.col("low") + F.col("more"), anchor - first).alias("to"),
+        )
+        for i, (first, last) in enumerate(PARTS)
+    ))
+    rows = open_runs.repartition("bucket").select("doc_id", "tie", "bucket", "context", F.inline(parts)).where("from <= to")
+    alike = Window.partitionBy("bucket", "part", "common")
+    return (
+        rows.withColumn("mixed", F.min("context").over(alike) != F.max("context").over(alike))
+        .where("mixed")
+        .select("doc_id", "tie", F.col("from").alias("low"), (F.col("to") - F.col("from")).alias("more"))
+    )
+
+
 def with_ranges(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
     """`docs` with the array `ranges` of their (low, more)."""
     grouped = ranges.groupBy(F.col("doc_id").alias("id"), F.col("tie").alias("t")).agg(
@@ -381,9 +431,9 @@ def deduplicate(
     """
     ship_package(docs.sparkSession)
     own = keyed(picked(docs, doc_id=id_col, text=text_col))
-    found = refined(own.mapInArrow(_runs, RUNS))
+    found = refined(own.mapInArrow(_runs, SIDED))
     repeats = found.where("kind = 1").select("doc_id", "tie", "low", "more").unionByName(
-        window_repeats(own, found.where("kind = 2")).select("doc_id", "tie", "low", F.col("more").cast("int").alias("more"))
+        window_repeats(own, open_parts(found.where("kind = 2"))).select("doc_id", "tie", "low", F.col("more").cast("int").alias("more"))
     )
     return with_ranges(compressed(own), repeats, "left").select("doc_id", "data", "ranges").mapInArrow(
         _cut(with_text), KEPT + (", kept binary" if with_text else "")

@@ -221,6 +221,28 @@ def test_repeated_strings(spark, monkeypatch, segment):
     assert suffixes.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_windows_are_refined_only_where_parts_agree(spark):
+    """Short strings in many texts open all their runs; strings of just 100 bytes are still found,
+    wherever their anchor stands."""
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    often = some(70)
+    rows = [(i, some(150) + often + some(150)) for i in range(40)]
+    shared = [some(n) for n in (100, 101, 117, 130, 140) * 12]
+    rows += [(100 + i, some(90 + i) + x + some(120)) for i, x in enumerate(shared)]
+    rows += [(200 + i, some(70) + x + some(100)) for i, x in enumerate(shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    opened = suffixes.refined(suffixes.keyed(docs).mapInArrow(suffixes._runs, suffixes.SIDED)).where("kind = 2")
+    parts = suffixes.open_parts(opened)
+    assert opened.where("doc_id < 100").count() >= 20 and parts.where("doc_id < 100").count() == 0
+    windows = lambda df: df.agg(F.sum(F.col("more") + 1)).first()[0]
+    assert windows(parts) < windows(opened)
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffixes.deduplicate(docs).collect()}
+    want = [eval(x)[:4] for x in brute_removed([(i, 0, t) for i, t in rows])]
+    assert got == {i: (removed, spans) for i, _, removed, spans in want}
+    assert all(got[200 + i][0] >= len(x) for i, x in enumerate(shared))
+
+
 def test_leaks(spark):
     r = random.Random(4)
     items = [(i, " ".join(words(r, 30))) for i in range(5)] + [(50, "dear me"), (None, None), (51, ""), (52, " ".join(["the"] * 12))]
