@@ -42,14 +42,10 @@ WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """Word -> 64-bit hash, remembered up to a number of words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+class Hashes:
+    """Word -> 64-bit hash; to hash again is quicker than to remember, and holds nothing."""
+
+    __getitem__ = staticmethod(xxhash.xxh3_64_intdigest)
 
 
 def word_hashes(texts: list[str], known: Hashes) -> tuple[np.ndarray, np.ndarray]:

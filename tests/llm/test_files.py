@@ -138,6 +138,20 @@ def _encoder():
     return _held[0]
 
 
+def test_a_worker_remembers_a_bounded_number_of_words(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY_WORDS", 40)
+    r, encoder = random.Random(3), packing.Encoder(PATH)
+    letters = "abcdeßÉÞžŸĲŉǅȺ"
+    for i in range(6):
+        words = ["the", "Été,", "x1", "İx", "ſt", "y" * 3_000, *("".join(r.choices(letters, k=5)) + r.choice(["", ".", "7"]) for _ in range(200))]
+        text = " ".join(words)
+        ids, counts = encoder.encode(pa.array([text, "", text]))
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids * 2 and counts[1] == 0
+        assert max(len(encoder.known), len(encoder.parts)) <= 40
+        assert max(map(len, [*encoder.known, *encoder.parts])) <= packing.REMEMBERED
+        assert i < 1 or "the" in encoder.parts
+
+
 def test_packing(spark):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(["alpha", "Beta,", "don't", "x1y2", "naïve."]) for _ in range(r.choice([3, 90, 4000])))) for i in range(60)]

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import time
+import tracemalloc
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from passageworks.llm import leaks, near_copies, suffixes, toxicity
@@ -72,6 +74,21 @@ def brute_classes(rows):
     return sorted(str((i, min(ids[find(at[t or ""])], default=None))) for i, t in rows)
 
 
+@pytest.mark.parametrize("module", [near_copies, leaks])
+def test_hashes_of_words_are_not_held(module):
+    texts = [" ".join(f"word{i}x{j}" for j in range(1_000)) for i in range(20)]
+    read, known = near_copies.shingles if module is near_copies else leaks.word_hashes, module.Hashes()
+    read(texts[:1], known)
+    tracemalloc.start()
+    try:
+        counts = read(texts, known)[1].sum()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert counts > 19_000 and held < 200_000
+    assert known["word"] == xxhash.xxh3_64_intdigest("word")
+
+
 def test_near_copy_classes(spark, copies):
     docs = spark.createDataFrame([(i, t, 1) for i, t in copies], "doc_id long, text string, node int").repartition(5)
     got = near_copies.classes(docs).collect()
