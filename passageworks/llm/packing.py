@@ -38,8 +38,12 @@ from passageworks.session import ship_package, stored
 LIMIT = 2048
 END_ID = 1
 DIMENSIONS, BITS = 4, 12
-#: Text bytes that a task works on at once, words whose ids a worker remembers, and their length.
-WORK_BYTES, MEMORY_WORDS, REMEMBERED = 1 << 20, 1 << 17, 64
+#: Text bytes whose distinct words a task looks up together, and of those that it works on at once.
+LOOKUP_BYTES, WORK_BYTES = 2 << 20, 1 << 20
+#: Parts of words whose ids a worker remembers (of other words half as many), and their length.
+MEMORY_WORDS, REMEMBERED = 1 << 18, 64
+#: Words that are written out at once.
+WORK_WORDS = 1 << 16
 #: Rows in a partition of the range sort.
 SORT_ROWS = 1 << 20
 
@@ -53,7 +57,8 @@ class Encoder:
 
     Where the tokenizer lower-cases, parts words at letters and maps bytes, plain words
     of Latin letters, with or without ASCII marks behind, go to its model part by part.
-    They are parted as a column, and only their distinct parts are remembered.
+    They are parted as a column, and only their distinct parts are remembered: in columns,
+    too, ahead of the new ones, so that one hashing finds what is known and what is new.
     """
 
     MARKS = r"[!-&(-/:-@\[-^`{-~]*"
@@ -65,16 +70,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.held = pa.array([], pa.string())
+        self.held_ids, self.held_sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         setup = json.loads(self.tokenizer.to_str())
         steps = [x.get("type") for k in ("normalizer", "pre_tokenizer") for x in _steps(setup[k])]
         self.parted = steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
         self.shown = dict(zip(range(256), _byte_letters()))
 
+    @property
+    def parts(self) -> list[str]:
+        """The remembered parts."""
+        return self.held.to_pylist()
+
     def _part(self, part: str) -> bytes:
         shown = part if part.isascii() else "".join(map(self.shown.__getitem__, part.encode()))
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _plain(self, word: str) -> bytes | None:
         m = self.PLAIN.fullmatch(word)
@@ -85,13 +97,29 @@ class Encoder:
             return None
         return self._part(letters) + self._part(m[2])
 
-    def _of_parts(self, parts: list[str]) -> list[bytes]:
-        out = list(map(self.parts.get, parts))
-        missing = [i for i, found in enumerate(out) if found is None]
-        for i in missing:
-            out[i] = self._part(parts[i])
-        self.parts = _remembered(self.parts, parts, out, missing)
-        return out
+    def _of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the distinct parts, how many each has, and the place there of each part."""
+        old = len(self.held)
+        coded = pa.concat_arrays([self.held, parts]).dictionary_encode()
+        # The remembered parts are distinct and come first: they keep their places.
+        distinct, places = coded.dictionary, coded.indices.to_numpy()[old:]
+        new_ids, new_sizes = _joined([self._part(p) for p in distinct.slice(old).to_pylist()])
+        ids, sizes = np.concatenate([self.held_ids, new_ids]), np.concatenate([self.held_sizes, new_sizes])
+        self._remember(distinct, ids, sizes, places)
+        return ids, sizes, places
+
+    def _remember(self, distinct: pa.Array, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> None:
+        stay = pc.less_equal(pc.utf8_length(distinct), REMEMBERED).to_numpy(zero_copy_only=False)
+        if np.count_nonzero(stay) > MEMORY_WORDS:
+            # Known parts that were just met stay: the common ones are among them.
+            met = np.zeros(len(distinct), bool)
+            met[places] = True
+            stay &= met
+        kept = np.flatnonzero(stay)[:MEMORY_WORDS]
+        if len(kept) < len(distinct):
+            begins = np.cumsum(sizes) - sizes
+            distinct, ids, sizes = distinct.take(pa.array(kept)), ids[ragged(begins[kept], sizes[kept])], sizes[kept]
+        self.held, self.held_ids, self.held_sizes = distinct, ids, sizes
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         out = list(map(self.known.get, words))
@@ -108,44 +136,58 @@ class Encoder:
         self.known = _remembered(self.known, words, out, missing)
         return out
 
-    def _distinct(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
-        """Ids of parts, and the places there of each word's two parts; the first has no ids."""
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words in one array, and how many each word has."""
         places = np.zeros((len(words), 2), np.int64)
-        found, plain = [b""], np.zeros(len(words), bool)
+        # The first part has no ids; words not parted are one part each.
+        ids, sizes, plain = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], np.zeros(len(words), bool)
         if self.parted:
             split = pc.extract_regex(words, self.LATIN)
             plain = split.is_valid().to_numpy(zero_copy_only=False)
             split = split.drop_null()
-            parts = pa.concat_arrays([pc.utf8_lower(split.field("letters")), split.field("marks")]).dictionary_encode()
-            places[plain] = parts.indices.to_numpy().reshape(2, -1).T + len(found)
-            found += self._of_parts(parts.dictionary.to_pylist())
-        rest = self._of_words(words.filter(pa.array(~plain)).to_pylist())
-        places[~plain, 0] = np.arange(len(rest)) + len(found)
-        return found + rest, places
+            part_ids, part_sizes, found = self._of_parts(
+                pa.concat_arrays([pc.utf8_lower(split.field("letters")), split.field("marks")])
+            )
+            places[plain] = found.reshape(2, -1).T + 1
+            ids.append(part_ids)
+            sizes.append(part_sizes)
+        rest_ids, rest_sizes = _joined(self._of_words(words.filter(pa.array(~plain)).to_pylist()))
+        places[~plain, 0] = np.arange(len(rest_sizes)) + sum(map(len, sizes))
+        sizes = np.concatenate([*sizes, rest_sizes])
+        per_part = sizes[places]
+        begins = (np.cumsum(sizes) - sizes)[places]
+        return np.concatenate([*ids, rest_ids])[ragged(begins.ravel(), per_part.ravel())], per_part.sum(axis=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = pc.dictionary_encode(words.flatten())
-        found, places = self._distinct(coded.dictionary)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), np.uint32)
-        codes = places[coded.indices.to_numpy()]
-        per_part = sizes[codes]
-        flat = ids[ragged((np.cumsum(sizes) - sizes)[codes].ravel(), per_part.ravel())]
+        ids, sizes = self._distinct(coded.dictionary)
+        begins, codes = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        # A stretch of the words at a time: places take several times the room of ids.
+        flat = [
+            ids[ragged(begins[some], sizes[some])]
+            for some in (codes[at : at + WORK_WORDS] for at in range(0, len(codes), WORK_WORDS))
+        ]
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-        sums = np.concatenate([[0], np.cumsum(per_part.sum(axis=1))])
+        sums = np.concatenate([[0], np.cumsum(sizes[codes])])
         ends = np.cumsum(per_text)
-        return flat, sums[ends] - sums[ends - per_text]
+        return np.concatenate([np.zeros(0, np.uint32), *flat]), sums[ends] - sums[ends - per_text]
+
+
+def _joined(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in one array, and how many each has."""
+    return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
 def _remembered(held: dict[str, bytes], words: list[str], found: list[bytes], new: list[int]) -> dict[str, bytes]:
-    """`held` with the new ones of `words`, `MEMORY_WORDS` at most."""
-    if len(held) + len(new) > MEMORY_WORDS:
+    """`held` with the new ones of `words`, half of `MEMORY_WORDS` at most."""
+    most = MEMORY_WORDS // 2
+    if len(held) + len(new) > most:
         # Known words that were just met stay: the common ones are among them.
         held = {w: f for w, f in zip(words, found) if w in held}
     short = (i for i in new if len(words[i]) <= REMEMBERED)
-    held.update((words[i], found[i]) for i in islice(short, MEMORY_WORDS - len(held)))
+    held.update((words[i], found[i]) for i in islice(short, most - len(held)))
     return held
 
 
@@ -216,19 +258,21 @@ def _tokenize(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault(path, Encoder(path)) if path not in _encoders else _encoders[path]
         narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
-        for part in slices(batches, "text", WORK_BYTES):
-            ids, counts = encoder.encode(part.column("text"))
-            keys = curve_keys(ids, counts)
-            ends = np.cumsum(counts)
-            data = np.insert(ids, ends, end_id).astype("<u2" if narrow else "<u4")
-            sizes = (counts + 1) * data.itemsize
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            packed = pa.Array.from_buffers(
-                pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(keys), pa.array(counts + 1), packed], ["doc_id", "key", "n", "ids"]
-            )
+        for part in slices(batches, "text", LOOKUP_BYTES):
+            all_ids, all_counts = encoder.encode(part.column("text"))
+            for some in slices([part], "text", WORK_BYTES):
+                counts, all_counts = np.split(all_counts, [some.num_rows])
+                ids, all_ids = np.split(all_ids, [counts.sum()])
+                keys = curve_keys(ids, counts)
+                data = np.insert(ids, np.cumsum(counts), end_id).astype("<u2" if narrow else "<u4")
+                sizes = (counts + 1) * data.itemsize
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                packed = pa.Array.from_buffers(
+                    pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id"), pa.array(keys), pa.array(counts + 1), packed], ["doc_id", "key", "n", "ids"]
+                )
 
     return run
 

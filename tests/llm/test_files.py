@@ -152,6 +152,25 @@ def test_a_worker_remembers_a_bounded_number_of_words(monkeypatch):
         assert i < 1 or "the" in encoder.parts
 
 
+def test_words_are_looked_up_over_more_than_is_written_at_once(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY_WORDS", 0)
+    encoder, r, asked = packing.Encoder(PATH), random.Random(4), []
+    monkeypatch.setitem(packing._encoders, PATH, encoder)
+    part = encoder._part
+    monkeypatch.setattr(encoder, "_part", lambda p: asked.append(p) or part(p))
+    words = ["".join(r.choices("abcdeéß", k=8)) + r.choice(["", "!", "7"]) for _ in range(55_000)]
+    texts = [" ".join(words), "", " ".join(words[::-1]), "İ it's 12", " ".join(words[:9])]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [3, 1, None, 1, 2], "text": texts})
+    out = list(packing._tokenize(PATH, 1)(iter([batch])))
+    assert len(out) > 1 and len(asked) == len(set(asked)) and not encoder.parts
+    rows = [x for b in out for x in b.to_pylist()]
+    assert [x["doc_id"] for x in rows] == [3, 1, None, 1, 2]
+    for x, text in zip(rows, texts):
+        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(x["ids"], "<u2").tolist() == [*ids, 1] and x["n"] == len(ids) + 1
+        assert x["key"] == packing.curve_keys(np.array(ids, np.uint32), np.array([len(ids)]))[0]
+
+
 def test_packing(spark):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(["alpha", "Beta,", "don't", "x1y2", "naïve."]) for _ in range(r.choice([3, 90, 4000])))) for i in range(60)]
