@@ -14,6 +14,8 @@ the last half of the longer word's length untouched, so each signature goes out
 either half.  Words meet in an equi-join on the signature's hash, and the join's own
 condition verifies the edit, so that only near pairs become rows.  No group is cut; a
 group that is still large is an ordinary join key, which Spark splits where it is skewed.
+The join asks for sorting: Spark takes the signatures to be as large as the words they are
+made of, a small part of their size, and would broadcast them.
 
 Counts are combined in the tasks before they are shuffled.  Chains of forms are followed by
 doubling, one join for each power of two: a form occurs five times as often as its word, so
@@ -153,7 +155,7 @@ def near_words(counted: DataFrame) -> DataFrame:
     b = signed.select("key", "own", F.col("word").alias("b"), F.col("n").alias("b_n"))
     # Of two words of equal length both ways meet; one is enough.
     once = ~F.col("own") | (F.col("a") < F.col("b"))
-    near = a.join(b, "key").where(once & (F.levenshtein("a", "b", 1) == 1))
+    near = a.join(b.hint("merge"), "key").where(once & (F.levenshtein("a", "b", 1) == 1))
     ways = F.array(
         F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("a_n").alias("n"), F.col("b_n").alias("other_n")),
         F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("b_n").alias("n"), F.col("a_n").alias("other_n")),

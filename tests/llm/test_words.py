@@ -118,6 +118,15 @@ def test_signatures_of_near_words_meet():
         assert own & set(spelling.signatures(shorter)[len(a) != len(b)])
 
 
+def test_signatures_are_not_broadcast(spark):
+    r = random.Random(2)
+    counted = spark.createDataFrame([("".join(r.choice("abcdef") for _ in range(7)), 5) for _ in range(500)], "word string, n long")
+    found = spelling.near_words(counted.distinct())
+    assert found.count() > 0
+    found.collect()  # as replanned while it runs, too
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 # ---- ranked lexical search ---------------------------------------------------
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
