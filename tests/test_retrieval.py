@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passageworks.functions import fixed
-from passageworks.functions.tokens import REGEX_COUNTER, batch_counter, counted_by_cuts, recounted
+from passageworks.functions.tokens import REGEX_COUNTER, Cuts, batch_counter, counted_by_cuts, recounted
 from passageworks.operators import ivf, packing, prompts, ranking, replies
 from passageworks.operators.embedding import embed, hashed_words, text_slices, unit_rows
 from passageworks.plans.index import build_index
@@ -400,6 +400,65 @@ def test_packing_hits_equals_packing_blocks(spark, budget):
         assert sorted(by_hit.collect()) == sorted(by_block.collect())
 
 
+def _halved_letters(tmp=None):
+    """Half the count of `four_letters`, cut where a word begins; notes in `tmp` what it counts."""
+
+    def noted(texts):
+        if tmp is not None:
+            with open(tmp, "a") as file:
+                file.write("".join(f"{len(t)}\n" for t in texts))
+        return four_letters(texts)
+
+    cuts = Cuts(noted, r"(?<=\s)\S", lambda n: (n + 1) // 2)
+    return batch_counter(lambda texts: [cuts.total(n) for n in noted(texts)], cuts=cuts)
+
+
+def _hits_of(spark, rows, contents):
+    """Hits, with contents and without, and the chunks; chunks are hit by several questions."""
+    hits = spark.createDataFrame(rows, "qid long, source_id long, group_rank int, rank int, chunk_id long")
+    chunks = spark.createDataFrame(list(enumerate(contents)), "id long, content string").repartition(3)
+    return hits, ranking.with_content(hits, chunks), chunks
+
+
+@pytest.mark.parametrize("budget", [-1, 4, 5, 20, 60, 150, 400, 5000])
+def test_packing_by_cuts_equals_counting_joined_texts(spark, budget):
+    rng = random.Random(7)
+    kinds = ["", None, " ", "a", "ab cd", " ab\n", "x" * 70, "abc " * 30, "  abcd ef " * 9, "one " + "y" * 40]
+    contents = [rng.choice(kinds) for _ in range(40)]
+    rows = [
+        (q, 40 + g, g, r, rng.randrange(40))
+        for q in range(40) for g in range(1, rng.randrange(2, 6)) for r in range(1, rng.randrange(2, 5))
+    ]
+    hits, shown, chunks = _hits_of(spark, rows, contents)
+    counter = _halved_letters()
+    want = packing.pack_contexts(packing.group_blocks(shown), budget, 0, counter).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = packing.pack_hits_by_cuts(hits, chunks, budget, 0, cuts=counter.cuts).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    assert len(got) == 40 and sorted(got) == sorted(want)
+
+
+def test_a_chunk_near_to_many_questions_is_counted_once(spark, tmp_path):
+    from passageworks.plans.answer import contexts_for
+
+    texts = [f"w{i} " * 400 for i in range(6)]
+    rng = np.random.default_rng(3)
+    chunks = spark.createDataFrame(
+        [(i, i % 2, t, rng.normal(size=4).tolist()) for i, t in enumerate(texts)],
+        "id long, source_id long, content string, embedding array<float>",
+    )
+    asked = spark.createDataFrame(
+        [(q, rng.normal(size=4).tolist()) for q in range(30)], "qid long, embedding array<float>"
+    )
+    counter = _halved_letters(str(tmp_path / "counted"))
+    got = contexts_for(chunks, asked, max_context=100_000, counter=counter).collect()
+    assert len(got) == 30 and all(sum(t in r.context for t in texts) == 6 for r in got)
+    counted = sum(map(int, (tmp_path / "counted").read_text().split()))
+    assert counted < 2 * sum(map(len, texts))
+
+
 def test_what_fits_is_found_without_texts(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "a b", 2)], "id long, content string, n_tok int")
     chunks.write.parquet(str(tmp_path / "chunks"))
