@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from passageworks.functions import fixed
 from passageworks.functions.tokens import REGEX_COUNTER, Cuts, batch_counter, counted_by_cuts, recounted
 from passageworks.operators import ivf, packing, prompts, ranking, replies
-from passageworks.operators.embedding import embed, hashed_words, text_slices, unit_rows
+from passageworks.operators.embedding import embed, hashed_columns, hashed_words, text_slices, unit_rows, word_lists
 from passageworks.plans.index import build_index
 from passageworks.operators.nearest import NearestRows, gather, nearest
 from passageworks.session import work_path
@@ -469,6 +469,22 @@ def test_what_fits_is_found_without_texts(spark, tmp_path):
     assert [(r.qid, r.keep) for r in fitted.collect()] == [(7, True)]
 
 
+def test_words_are_split_without_the_pattern(monkeypatch):
+    """Texts of words of any script and ASCII signs; others take the pattern, with the same words."""
+    rng = random.Random(6)
+    plain = "ab9_ áéßñж日٣²\t\n\x00\x1f .,-[]@#\x7f"
+    texts = [""] + ["".join(rng.choice(plain) for _ in range(rng.randrange(40))) for _ in range(300)]
+    odd = [t + rng.choice(["\u00a0", "—", "\u0301", "😀", "\u2028"]) + "x" for t in texts]
+    by_pattern = pc.split_pattern_regex
+    words = lambda lists: [[w for w in ws if w] for ws in lists.to_pylist()]
+    want = {n: words(by_pattern(pa.array(t), r"[^\p{L}\p{N}_]+")) for n, t in (("plain", texts), ("odd", odd))}
+    assert words(word_lists(pa.array(odd))) == want["odd"]
+    monkeypatch.setattr(pc, "split_pattern_regex", None)
+    assert words(word_lists(pa.array(texts))) == want["plain"]
+    assert words(word_lists(pa.array(texts).slice(7, 90))) == want["plain"][7:97]
+    assert np.array_equal(hashed_columns(pa.array(texts), 48), hashed_words(texts, 48))
+
+
 def test_merging_in_two_steps(cloud, monkeypatch):
     from passageworks.operators import nearest as module
 
